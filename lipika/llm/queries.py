@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship, table
-from . import canonical, crosssplit, lookalike, neardup
+from . import canonical, crosssplit, lookalike, mojibake, neardup
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,6 +36,18 @@ def p4_overlap_report(spark: SparkSession, sf: str) -> DataFrame:
     return crosssplit.overlap_report(table(spark, sf, "corpus_docs"))
 
 
+def _garbled(spark: SparkSession, sf: str) -> DataFrame:
+    return mojibake.garbled_records(table(spark, sf, "corpus_docs"), table(spark, sf, "corpus_entries"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _garbled(spark, sf).select("doc_id").distinct()
+
+
+def p5_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return _garbled(spark, sf).dropDuplicates(["doc_id"])
+
+
 def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         ship(spark)
@@ -45,5 +57,5 @@ def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p2_found, p2_classes, p3_found, p3_canonical_text, p4_found, p4_overlap_report]
+    named = [p2_found, p2_classes, p3_found, p3_canonical_text, p4_found, p4_overlap_report, p5_found, p5_restored]
     return {q.__name__: _ready(q) for q in named}
