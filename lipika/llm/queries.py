@@ -8,7 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship, table
-from . import canonical, crosssplit, lookalike, mojibake, neardup
+from . import canonical, crosssplit, lookalike, mixing, mojibake, neardup, packing, subjects, tokens
+
+
+def p1_token_budget(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.token_budget(tokens.document_tokens(table(spark, sf, "corpus_docs"), table(spark, sf, "corpus_entries")))
+
+
+def p1_documents_token_budget(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.token_budget(tokens.document_tokens(table(spark, sf, "documents"), table(spark, sf, "corpus_entries"), "source"))
+
+
+def p1_record_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.document_tokens(table(spark, sf, "corpus_docs"), table(spark, sf, "corpus_entries"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,6 +60,38 @@ def p5_restored(spark: SparkSession, sf: str) -> DataFrame:
     return _garbled(spark, sf).dropDuplicates(["doc_id"])
 
 
+def p6_placements(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.placements(table(spark, sf, "documents"), table(spark, sf, "pack_capacities"))
+
+
+def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill(p6_placements(spark, sf))
+
+
+def p7_selection(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
+
+
+def _subject_tables(spark: SparkSession, sf: str) -> list[DataFrame]:
+    return [table(spark, sf, t) for t in ("documents", "subject_labels", "subject_areas")]
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return subjects.document_subjects(*_subject_tables(spark, sf)).select("doc_id", "subject")
+
+
+def p8_subject_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return subjects.subject_shares(*_subject_tables(spark, sf))
+
+
+def p8_composition(spark: SparkSession, sf: str) -> DataFrame:
+    return subjects.composition(*_subject_tables(spark, sf))
+
+
 def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         ship(spark)
@@ -57,5 +101,24 @@ def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p2_found, p2_classes, p3_found, p3_canonical_text, p4_found, p4_overlap_report, p5_found, p5_restored]
+    named = [
+        p1_token_budget,
+        p1_documents_token_budget,
+        p1_record_tokens,
+        p2_found,
+        p2_classes,
+        p3_found,
+        p3_canonical_text,
+        p4_found,
+        p4_overlap_report,
+        p5_found,
+        p5_restored,
+        p6_placements,
+        p6_fill,
+        p7_selection,
+        p7_shares,
+        p8_found,
+        p8_subject_shares,
+        p8_composition,
+    ]
     return {q.__name__: _ready(q) for q in named}
