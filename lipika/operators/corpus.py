@@ -51,7 +51,8 @@ def heldout_by_shuffle(docs: DataFrame, seed: int) -> DataFrame:
     """Held-out documents made by shuffling words: not of code, math and markdown, at least 3 words. (doc_id, kind, text)"""
     base = docs.where("doc_id is not null and text is not null and (kind is null or kind not in ('code', 'math', 'markdown'))").withColumn("w", words(F.col("text"))).where("size(w) >= 3")
     keyed = F.transform("w", lambda x, k: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), k.cast("string"))).alias("key"), k.alias("k"), x.alias("w")))
-    return base.select(F.concat(F.lit("held-"), F.col("doc_id").cast("string")).alias("doc_id"), F.concat(F.coalesce("kind", F.lit("")), F.lit("_held")).alias("kind"), F.array_join(F.transform(F.array_sort(keyed), lambda s: s["w"]), " ").alias("text"))
+    base = base.withColumn("shuffled", F.array_join(F.transform(F.sort_array(keyed), lambda s: s["w"]), " "))
+    return base.select(F.concat(F.lit("held-"), F.col("doc_id").cast("string")).alias("doc_id"), F.concat(F.coalesce("kind", F.lit("")), F.lit("_held")).alias("kind"), F.col("shuffled").alias("text"))
 
 
 def sentences(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,621 @@
-"""The queries of the core engine."""
+"""The queries of the core engine: one for each operator, over whole tables."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scripts, text
+from ..operators import codec, corpus, segment, slots, training
+from ..session import materialize, ship, table
+from ..sources import sinks
+from ..sources.files import read_slot_corpus
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+GROUPED = {"COMMON": "NEUTRAL", "LATIN": "EUROPEAN", "GREEK": "EUROPEAN", "CYRILLIC": "EUROPEAN", "DEVANAGARI": "INDIC", "KANNADA": "INDIC"}
+
+
+def query(f: Query) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf)
+
+    QUERIES[f.__name__] = run
+    return f
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Few files on many cores: share the rows out. Larger inputs have splits enough and stay as they are."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
+def docs(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents"))
+
+
+def given(spark: SparkSession, sf: str) -> DataFrame:
+    return docs(spark, sf).where("text is not null")
+
+
+def joined(ids) -> F.Column:
+    return F.md5(F.array_join(ids, " "))
+
+
+# --- scans and extraction -------------------------------------------------------------------------------------
+@query
+def scan_documents(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "kind", F.length("text").cast("long").alias("chars"))
+
+
+@query
+def read_slot_partition(spark, sf):
+    runs = segment.runs(docs(spark, sf))
+    path = materialize_path(runs)
+    return read_slot_corpus(spark, path, "KANNADA").agg(F.count("*").alias("runs"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
+def materialize_path(runs: DataFrame) -> str:
+    import uuid
+
+    from ..session import shared_dir
+
+    path = f"{shared_dir(runs.sparkSession)}/lipika/slots-{uuid.uuid4().hex}"
+    runs.write.partitionBy("slot").parquet(path)
+    return path
+
+
+@query
+def loose_jsonl_text(spark, sf):
+    """Lines of every kind, made of the documents: objects under several keys, broken ones, plain text, blanks."""
+    t = F.col("text")
+    line = F.concat(F.lit('{"'), F.element_at(F.array(*map(F.lit, ("text", "content", "target", "other"))), (F.col("doc_id") % 4 + 1).cast("int")), F.lit('": '), F.to_json(F.array(t)).substr(F.lit(2), F.length(F.to_json(F.array(t))) - 2), F.lit("}"))
+    lines = given(spark, sf).select("doc_id", F.when(F.col("doc_id") % 7 == 5, F.concat(F.lit("  "), t, F.lit(" "))).when(F.col("doc_id") % 7 == 6, F.lit("{broken}")).otherwise(line).alias("line"))
+    return lines.withColumn("text", corpus.loose_text(F.col("line"))).where("text is not null").select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("chars"))
+
+
+@query
+def extract_text_filtered(spark, sf):
+    return corpus.extract(given(spark, sf), 200, 1000).select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("chars"))
+
+
+@query
+def group_first_seen(spark, sf):
+    return docs(spark, sf).groupBy("source").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("documents"))
+
+
+@query
+def concat_string_fields(spark, sf):
+    fields = [F.trim(c) for c in ("kind", "lang", "source")]
+    return docs(spark, sf).select("doc_id", F.concat_ws(" ", *fields).alias("joined")).where("length(joined) >= 20")
+
+
+@query
+def sample_by_char_budget(spark, sf):
+    cut = corpus.running_cut(given(spark, sf), F.length("text"), 20_000, ["doc_id"], ["lang"])
+    return cut.groupBy("lang").agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("chars"))
+
+
+@query
+def char_cap_take(spark, sf):
+    return corpus.distributed_cut(given(spark, sf), F.length("text"), 200_000, "doc_id").select("doc_id", F.length("text").cast("long").alias("chars"))
+
+
+@query
+def limit_docs(spark, sf):
+    return docs(spark, sf).orderBy("doc_id").limit(50).select("doc_id", "kind")
+
+
+@query
+def heldout_word_shuffle(spark, sf):
+    return corpus.heldout_by_shuffle(docs(spark, sf), 9999).select("doc_id", "kind", F.md5("text").alias("digest"))
+
+
+@query
+def positional_split(spark, sf):
+    return corpus.positional_split(docs(spark, sf), 0.15, ["doc_id"], ["lang"]).groupBy("lang", "part").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_id"))
+
+
+@query
+def seeded_shuffle(spark, sf):
+    key = corpus.seeded_key("doc_id", seed=1337)
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(key, "doc_id"))
+    return docs(spark, sf).select("doc_id", "kind", place.cast("long").alias("place"))
+
+
+@query
+def sentence_overlap(spark, sf):
+    d = table(spark, sf, "corpus_docs")
+    return corpus.sentence_overlap(d.where("split = 'train'"), d.where("split = 'test'"))
+
+
+# --- segmentation ----------------------------------------------------------------------------------------------
+@query
+def slot_corpus_bytes(spark, sf):
+    return segment.runs(docs(spark, sf)).groupBy("slot").agg(F.count("*").alias("runs"), F.sum(F.length("text")).alias("chars"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
+@query
+def segment_leading(spark, sf):
+    return segment.runs(docs(spark, sf))
+
+
+@query
+def segment_neutral(spark, sf):
+    return segment.runs(docs(spark, sf), mode="neutral")
+
+
+@query
+def segment_grouped(spark, sf):
+    return segment.runs(docs(spark, sf), slot_map=GROUPED).select("doc_id", "run_pos", "slot", "start", "end")
+
+
+@query
+def runs_exploded(spark, sf):
+    return segment.runs(docs(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("runs"), F.max("end").alias("chars"))
+
+
+@query
+def runs_by_slot(spark, sf):
+    return segment.runs(docs(spark, sf)).where("slot = 'DEVANAGARI'").select("doc_id", "run_pos", "text")
+
+
+@query
+def structural_spans(spark, sf):
+    spans = scripts.structural_spans(scripts.nfc(F.col("text")))
+    return given(spark, sf).select("doc_id", F.posexplode(spans).alias("pos", "span"))
+
+
+def _letters(spark, sf) -> DataFrame:
+    base = given(spark, sf).select(scripts.nfc(F.col("text")).alias("c"))
+    own = scripts.raw_classes(base, "c")
+    counts = [F.struct(F.lit(x).alias("letter"), F.sum(F.length("c") - F.length(F.translate("c", x, ""))).alias("n")) for x in (*scripts.SCRIPT_OF_LETTER, "w", "i") if x not in "zC"]
+    return own.agg(F.array(*counts).alias("a")).select(F.inline("a")).where("n > 0")
+
+
+@query
+def char_script_histogram(spark, sf):
+    names = scripts.SCRIPT_OF_LETTER | {"w": "COMMON", "i": "INHERITED"}
+    script = F.create_map(*(F.lit(x) for p in names.items() for x in p))[F.col("letter")]
+    return _letters(spark, sf).groupBy(script.alias("script")).agg(F.sum("n").alias("chars"))
+
+
+@query
+def char_slot_histogram(spark, sf):
+    names = {x: scripts.DEFAULT_SLOT_MAP.get(s, "CATCHALL") for x, s in (scripts.SCRIPT_OF_LETTER | {"w": "COMMON"}).items()} | {"i": "INHERITED"}
+    slot = F.create_map(*(F.lit(x) for p in names.items() for x in p))[F.col("letter")]
+    return _letters(spark, sf).groupBy(slot.alias("slot")).agg(F.sum("n").alias("chars"))
+
+
+@query
+def nfc_normalize(spark, sf):
+    d = spread(table(spark, sf, "corpus_docs")).where("text is not null")
+    return d.select("doc_id", F.md5(scripts.nfc(F.col("text"))).alias("digest")).distinct()
+
+
+@query
+def dominant_slot(spark, sf):
+    return _dominant(spark, sf).select("doc_id", "slot", "purity")
+
+
+def _dominant(spark, sf) -> DataFrame:
+    """(doc_id, slot, purity): the slot with the most characters besides NEUTRAL; of equal ones the first in the text."""
+    per = segment.runs(docs(spark, sf)).where("slot <> 'NEUTRAL'").groupBy("doc_id", "slot").agg(F.sum(F.length("text")).alias("n"), F.min("run_pos").alias("first"))
+    top = per.groupBy("doc_id").agg(F.max_by("slot", F.struct("n", -F.col("first"))).alias("slot"), F.max("n").alias("n"), F.sum("n").alias("all"))
+    found = top.select("doc_id", "slot", F.expr("100 * n div all").cast("long").alias("purity"))
+    return given(spark, sf).select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("slot", F.lit("NEUTRAL")).alias("slot"), F.coalesce("purity", F.lit(0)).alias("purity"))
+
+
+@query
+def pure_documents(spark, sf):
+    return _dominant(spark, sf).where("slot <> 'NEUTRAL' and purity >= 90").groupBy("slot").agg(F.count("*").alias("documents"))
+
+
+@query
+def balance_by_script(spark, sf):
+    pure = _dominant(spark, sf).where("slot <> 'NEUTRAL' and purity >= 90").join(given(spark, sf).select("doc_id", F.octet_length("text").cast("long").alias("bytes")), "doc_id")
+    pure = materialize(pure.withColumn("key", corpus.seeded_key("doc_id", seed=1337)), "pure")
+    target = pure.groupBy("slot").agg(F.sum("bytes").alias("b")).agg(F.min("b").alias("target"))
+    cut = corpus.running_cut(pure.crossJoin(F.broadcast(target)), F.col("bytes"), F.col("target"), ["key", "doc_id"], ["slot"])
+    return cut.select("doc_id", "slot", "bytes")
+
+
+@query
+def whitespace_mode_cost(spark, sf):
+    both = [segment.runs(docs(spark, sf), mode=m).groupBy("slot").agg(F.count("*").alias(f"{m}_runs"), F.sum(F.length("text")).alias(f"{m}_chars")) for m in ("leading", "neutral")]
+    return both[0].join(both[1], "slot", "full").select("slot", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("leading_runs", "leading_chars", "neutral_runs", "neutral_chars")))
+
+
+@query
+def slot_markers(spark, sf):
+    r = segment.runs(docs(spark, sf))
+    return r.groupBy("doc_id").agg((F.count("*") - 1).alias("markers"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run_pos", "slot"))), lambda x: x["slot"]), "|").alias("slots"))
+
+
+@query
+def lexical_diversity(spark, sf):
+    return segment.runs(docs(spark, sf)).groupBy("slot").agg(F.count("*").alias("runs"), F.countDistinct("text").alias("distinct_runs"), F.sum(F.length("text")).alias("chars"))
+
+
+# --- scalar functions ------------------------------------------------------------------------------------------
+@query
+def doc_text_stats(spark, sf):
+    t = F.col("text")
+    return given(spark, sf).select("doc_id", F.length(t).cast("long").alias("chars"), F.octet_length(t).cast("long").alias("bytes"), text.word_count(t).cast("long").alias("words"))
+
+
+@query
+def byte_encode(spark, sf):
+    return given(spark, sf).select("doc_id", joined(text.utf8_bytes(F.col("text"))).alias("ids"), F.octet_length("text").cast("long").alias("tokens"))
+
+
+@query
+def byte_roundtrip(spark, sf):
+    back = text.from_bytes(text.utf8_bytes(F.col("text")))
+    return given(spark, sf).select((back == F.col("text")).alias("exact")).groupBy("exact").agg(F.count("*").alias("documents"))
+
+
+@query
+def byte_level_text(spark, sf):
+    return given(spark, sf).select("doc_id", F.md5(text.byte_level(F.col("text"))).alias("digest"))
+
+
+@query
+def doc_sha256(spark, sf):
+    return given(spark, sf).select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+@query
+def lang_benchmark(spark, sf):
+    t = F.col("text")
+    sums = given(spark, sf).groupBy("lang").agg(F.count("*").alias("documents"), F.sum(text.word_count(t)).alias("words"), F.sum(F.length(t)).alias("chars"), F.sum(F.octet_length(t)).alias("bytes"))
+    return sums.withColumn("bytes_per_word", text.ratio(F.col("bytes"), F.col("words"))).withColumn("bytes_per_char", text.ratio(F.col("bytes"), F.col("chars")))
+
+
+@query
+def observed_alphabet(spark, sf):
+    return given(spark, sf).select(F.explode(F.array_distinct(text.utf8_bytes(F.col("text")))).alias("byte")).groupBy("byte").agg(F.count("*").alias("documents"))
+
+
+@query
+def padded_vocab(spark, sf):
+    return table(spark, sf, "slot_ranges").agg(F.max("end_id").cast("long").alias("vocab_size")).select("vocab_size", slots.padded(F.col("vocab_size")).alias("padded_vocab_size"))
+
+
+@query
+def embedding_params(spark, sf):
+    size = (F.col("end_id") - F.col("start_id")).cast("long")
+    return table(spark, sf, "slot_ranges").select("name", (size * 2048).alias("tied"), (size * 4096).alias("untied"))
+
+
+# --- layout and vocabulary -------------------------------------------------------------------------------------
+@query
+def id_layout(spark, sf):
+    sizes = table(spark, sf, "slot_ranges").select("name", "algorithm", "size", F.col("start_id").alias("ord"))
+    return slots.layout(sizes)
+
+
+@query
+def layout_violations(spark, sf):
+    return slots.violations(table(spark, sf, "slot_ranges"))
+
+
+@query
+def id_to_slot(spark, sf):
+    ids = spark.range(-2, 5000).select(F.col("id").cast("int").alias("id"))
+    return slots.with_slot_of_id(ids, table(spark, sf, "slot_ranges"))
+
+
+@query
+def id_space_sound(spark, sf):
+    top = table(spark, sf, "slot_ranges").agg(F.max("end_id").alias("top"))
+    ids = spark.range(len(slots.SPECIALS), 100_000).join(F.broadcast(top), F.col("id") < F.col("top")).select(F.col("id").cast("int").alias("id"))
+    return slots.with_slot_of_id(ids, table(spark, sf, "slot_ranges")).agg(F.count("*").alias("ids"), F.sum(F.when(F.col("slot").isNull(), 1).otherwise(0)).alias("unrouted"))
+
+
+@query
+def describe_layout(spark, sf):
+    specs = table(spark, sf, "slot_specs").select("name", F.array_join("scripts", ",").alias("scripts"), "structural", "trained")
+    return table(spark, sf, "slot_ranges").join(specs, "name").select("name", "start_id", "end_id", "algorithm", "scripts", "structural", "trained")
+
+
+@query
+def vocab_freeze(spark, sf):
+    v = table(spark, sf, "slot_vocab").where("slot is not null")
+    sizes = v.groupBy("slot").agg(F.count("*").alias("size"), F.min("id").alias("ord")).select(F.col("slot").alias("name"), "size", "ord", F.lit("frozen").alias("algorithm"))
+    return slots.layout(sizes)
+
+
+@query
+def local_vocab(spark, sf):
+    v = table(spark, sf, "slot_vocab").where("slot is not null")
+    return v.select("id", "slot", (F.row_number().over(Window.partitionBy("slot").orderBy("id")) - 1).cast("int").alias("local_id"))
+
+
+@query
+def local_to_global(spark, sf):
+    v = table(spark, sf, "slot_vocab").where("slot is not null")
+    r = table(spark, sf, "slot_ranges").select(F.col("name").alias("slot"), "start_id")
+    return v.join(F.broadcast(r), "slot").select("id", "slot", (F.col("start_id") + F.col("local_id")).cast("int").alias("global_id"))
+
+
+@query
+def token_to_first_id(spark, sf):
+    return table(spark, sf, "slot_vocab").groupBy("token").agg(F.min("id").alias("first_id"), F.count("*").alias("ids"))
+
+
+@query
+def byte_tax(spark, sf):
+    v = table(spark, sf, "slot_vocab").where("slot is not null")
+    raw = F.sum(F.when(F.octet_length("token") == 1, 1).when(F.col("token").rlike("^<0x[0-9A-F]{2}>$"), 1).otherwise(0))
+    return v.groupBy("slot").agg(F.count("*").alias("rows"), raw.alias("byte_rows")).withColumn("share", F.col("byte_rows") / F.col("rows"))
+
+
+@query
+def decode_id_groups(spark, sf):
+    """The vocabulary's ids in order as a stream: groups of consecutive ids of one slot, specials between them."""
+    v = table(spark, sf, "slot_vocab").select("id", "token")
+    named = slots.with_slot_of_id(v, table(spark, sf, "slot_ranges"))
+    order = Window.orderBy("id")
+    edge = F.when(F.col("slot").isNull() | ~F.col("slot").eqNullSafe(F.lag("slot").over(order)), 1).otherwise(0)
+    grouped = named.withColumn("edge", edge).withColumn("grp", F.sum("edge").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    found = grouped.groupBy("grp").agg(F.first("slot").alias("slot"), F.min("id").alias("first_id"), F.count("*").alias("ids"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "token"))), lambda x: x["token"]), "")).alias("digest"))
+    return found.select("slot", "first_id", "ids", "digest")
+
+
+# --- token streams of the byte slot ----------------------------------------------------------------------------
+BYTES_FROM = 4705
+
+
+def _byte_ids(spark, sf) -> DataFrame:
+    return given(spark, sf).where("text <> ''").select("doc_id", "lang", F.transform(text.utf8_bytes(F.col("text")), lambda b: b + F.lit(BYTES_FROM)).alias("ids"))
+
+
+@query
+def encode_with_bos_eos(spark, sf):
+    ids = F.concat(F.array(F.lit(1)), F.col("ids"), F.array(F.lit(2)))
+    return _byte_ids(spark, sf).select("doc_id", F.size(ids).cast("long").alias("tokens"), joined(ids).alias("ids"))
+
+
+@query
+def decode_skip_specials(spark, sf):
+    ids = F.filter(F.concat(F.array(F.lit(1)), F.col("ids"), F.array(F.lit(2), F.lit(0))), lambda x: x >= len(slots.SPECIALS))
+    back = text.from_bytes(F.transform(ids, lambda x: x - F.lit(BYTES_FROM)))
+    return _byte_ids(spark, sf).select("doc_id", F.md5(back).alias("digest"))
+
+
+@query
+def pad_batch(spark, sf):
+    """Batches of 32 documents by id, each padded to its longest."""
+    base = _byte_ids(spark, sf).withColumn("batch", F.floor(F.col("doc_id") / 32)).withColumn("n", F.size("ids"))
+    width = F.max("n").over(Window.partitionBy("batch"))
+    padded = base.withColumn("width", width).withColumn("all", F.concat("ids", F.array_repeat(F.lit(0), F.col("width") - F.col("n"))))
+    return padded.select("doc_id", "batch", F.size("all").cast("long").alias("width"), F.aggregate(F.transform("all", lambda x: (x != 0).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x).alias("attended"))
+
+
+@query
+def vocab_utilization(spark, sf):
+    used = _byte_ids(spark, sf).select(F.explode(F.array_distinct("ids")).alias("id")).distinct()
+    counts = slots.with_slot_of_id(used, table(spark, sf, "slot_ranges")).groupBy("slot").agg(F.count("*").alias("used"))
+    r = table(spark, sf, "slot_ranges").select(F.col("name").alias("slot"), F.col("size").cast("long").alias("size"))
+    return r.join(counts, "slot", "left").select("slot", "size", F.coalesce("used", F.lit(0)).alias("used"), (F.coalesce("used", F.lit(0)) / F.col("size")).alias("utilization"))
+
+
+@query
+def lm_windows(spark, sf):
+    """Scoring windows of 256 tokens over each document's stream; each but its first token is scored once."""
+    n = F.size("ids")
+    per = _byte_ids(spark, sf).select("doc_id", n.alias("n")).where("n >= 2").select("doc_id", "n", F.explode(F.expr("sequence(0, n - 2, 256)")).alias("start"))
+    return per.select("doc_id", F.col("start").cast("long").alias("start"), (F.least(F.col("start") + 257, F.col("n")) - F.col("start") - 1).cast("long").alias("scored"))
+
+
+@query
+def shard_plan(spark, sf):
+    size = F.octet_length("text") + 1
+    placed = sinks.offsets(given(spark, sf).where("text <> ''").select("doc_id", size.cast("long").alias("n")), F.col("n"), "doc_id")
+    cut = sinks.shard_pieces(placed, F.col("n"), 100_000)
+    return cut.groupBy("shard").agg(F.count("*").alias("pieces"), F.sum(F.col("to_offset") - F.col("from_offset")).alias("tokens"))
+
+
+@query
+def bpb_ngram(spark, sf):
+    """Bits per byte of a smoothed byte-bigram model fitted on the first half of the documents and scored on the rest."""
+    pairs = F.expr("transform(sequence(1, size(b) - 1), i -> struct(b[i - 1] as a, b[i] as b))")
+    base = given(spark, sf).select("doc_id", text.utf8_bytes(F.col("text")).alias("b")).where("size(b) >= 2").select((F.col("doc_id") % 2).alias("half"), F.inline(pairs))
+    counts = materialize(base.groupBy("half", "a", "b").agg(F.count("*").alias("n")), "bigrams")
+    fit = counts.where("half = 0").select("a", "b", F.col("n").alias("k"))
+    first = fit.groupBy("a").agg(F.sum("k").alias("all"))
+    scored = counts.where("half = 1").join(fit, ["a", "b"], "left").join(first, "a", "left")
+    nll = -F.log((F.coalesce("k", F.lit(0)) + 1) / (F.coalesce("all", F.lit(0)) + 256)) * F.col("n")
+    return scored.agg(F.sum("n").alias("scored_tokens"), F.round(F.sum(nll) / F.log(F.lit(2.0)) / F.sum("n"), 6).alias("bits_per_byte"))
+
+
+# --- metrics of the byte codec and of the frozen vocabulary ----------------------------------------------------
+@query
+def per_slot_metrics(spark, sf):
+    sums = segment.runs(docs(spark, sf)).groupBy("slot").agg(F.count("*").alias("runs"), F.sum(F.length("text")).alias("chars"), F.sum(F.octet_length("text")).alias("bytes"))
+    return sums.withColumn("tokens", F.col("bytes")).withColumn("tokens_per_char", text.ratio(F.col("tokens"), F.col("chars"))).withColumn("chars_per_token", text.ratio(F.col("chars"), F.col("tokens"))).withColumn("bytes_per_token", text.ratio(F.col("bytes"), F.col("tokens")))
+
+
+@query
+def corpus_metrics(spark, sf):
+    t = F.col("text")
+    sums = given(spark, sf).agg(F.count("*").alias("documents"), F.sum(F.octet_length(t)).alias("tokens"), F.sum(F.length(t)).alias("chars"), F.sum(text.word_count(t)).alias("words"))
+    return sums.withColumn("tokens_per_word", text.ratio(F.col("tokens"), F.col("words"))).withColumn("tokens_per_char", text.ratio(F.col("tokens"), F.col("chars")))
+
+
+@query
+def roundtrip_report(spark, sf):
+    back = text.from_bytes(text.utf8_bytes(F.col("text")))
+    return given(spark, sf).agg(F.count("*").alias("documents"), F.count_if(back == F.col("text")).alias("exact"), F.sum(F.octet_length("text")).alias("total_ids")).withColumn("failures", F.col("documents") - F.col("exact"))
+
+
+@query
+def gates(spark, sf):
+    back = text.from_bytes(text.utf8_bytes(F.col("text")))
+    one = given(spark, sf).agg((F.count_if(back != F.col("text")) == 0).alias("passed")).select(F.lit("roundtrip").alias("gate"), "passed")
+    two = id_space_sound(spark, sf).select(F.lit("id_space").alias("gate"), (F.col("unrouted") == 0).alias("passed"))
+    three = slots.violations(table(spark, sf, "slot_ranges")).agg((F.count("*") == 0).alias("passed")).select(F.lit("layout").alias("gate"), "passed")
+    return one.unionByName(two).unionByName(three)
+
+
+@query
+def compare_per_script(spark, sf):
+    """Tokens of two codecs on the pure documents of each slot: bytes against characters."""
+    pure = _dominant(spark, sf).where("slot <> 'NEUTRAL' and purity >= 90").join(given(spark, sf), "doc_id")
+    sums = pure.groupBy("slot").agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("part_tokens"), F.sum(F.octet_length("text")).alias("base_tokens"))
+    return sums.withColumn("improvement_pct", 100.0 * (F.col("base_tokens") - F.col("part_tokens")) / F.col("base_tokens")).withColumn("wins", F.col("part_tokens") < F.col("base_tokens"))
+
+
+@query
+def memorization_gap(spark, sf):
+    """By kind: bytes per character in the train split less that in the test split."""
+    d = table(spark, sf, "corpus_docs").where("text is not null").withColumn("kind", F.regexp_replace("kind", "_held$", ""))
+    side = [d.where(f"split = '{s}'").groupBy("kind").agg((F.sum(F.octet_length("text")) / F.sum(F.length("text"))).alias(s)) for s in ("train", "test")]
+    return side[0].join(side[1], "kind").select("kind", "train", "test", (F.col("train") - F.col("test")).alias("gap"))
+
+
+@query
+def marginal_gain(spark, sf):
+    by = given(spark, sf).groupBy("lang", "kind").agg((F.sum(F.octet_length("text")) / F.sum(F.length("text"))).alias("fertility")).where("lang is not null and kind is not null")
+    before = F.lag("fertility").over(Window.partitionBy("lang").orderBy("kind"))
+    return by.select("lang", "kind", "fertility", ((before - F.col("fertility")) / before * 100).alias("gain_pct"))
+
+
+@query
+def algo_pivot(spark, sf):
+    v = table(spark, sf, "slot_vocab").where("slot is not null").join(table(spark, sf, "slot_specs").select(F.col("name").alias("slot"), "algorithm"), "slot")
+    return v.groupBy("slot").pivot("algorithm", ["bpe", "unigram", "bytes"]).agg(F.count("id")).na.fill(0)
+
+
+@query
+def seed_stats(spark, sf):
+    n = F.length("text").cast("double")
+    return given(spark, sf).groupBy("kind").agg(F.round(F.avg(n), 6).alias("mean"), F.round(F.stddev_samp(n), 6).alias("std"), (F.abs(F.avg(n)) > F.stddev_samp(n)).alias("decisive"))
+
+
+@query
+def bpe_train_pairs(spark, sf):
+    return training.first_pairs(training.run_counts(segment.runs(docs(spark, sf))))
+
+
+@query
+def unigram_seed_pieces(spark, sf):
+    return training.seed_pieces(training.run_counts(segment.runs(docs(spark, sf)).where("slot = 'KANNADA'")), 3)
+
+
+@query
+def fallback_chars(spark, sf):
+    """Characters by slot that have no piece of their own in the slot's vocabulary and would become bytes."""
+    single = table(spark, sf, "slot_vocab").where("slot is not null and slot <> 'CATCHALL' and length(token) = 1").select("slot", F.col("token").alias("ch")).distinct()
+    found = segment.runs(docs(spark, sf)).select("slot", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("slot", "ch").agg(F.count("*").alias("n"))
+    return found.join(single.withColumn("known", F.lit(1)), ["slot", "ch"], "left").groupBy("slot").agg(F.sum("n").alias("chars"), F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)).alias("uncovered"))
+
+
+@query
+def sentence_space(spark, sf):
+    """Distinct combinations a grammar of word banks can make, with the registry's columns as banks."""
+    e = table(spark, sf, "corpus_entries")
+    return e.agg(F.countDistinct("slot").alias("slots"), F.countDistinct("encoding").alias("encodings"), F.countDistinct("glob_pattern").alias("patterns")).withColumn("space", F.col("slots") * F.col("encodings") * F.col("patterns"))
+
+
+@query
+def budget_allocation(spark, sf):
+    sizes = segment.runs(docs(spark, sf)).groupBy("slot").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    return slots.budget_rows(spark, sizes, 8000, least=1, most=64_000)
+
+
+SUBJECTS = ("the clerk", "a farmer", "our teacher", "the pilot", "a singer", "the judge", "my neighbour")
+VERBS = ("kept", "found", "lost", "mended", "sold", "drew", "counted")
+OBJECTS = ("a lantern", "the map", "seven letters", "an old drum", "the ledger", "two baskets", "a blue door")
+
+
+def _synthetic(spark, n: int, seed: int) -> DataFrame:
+    """Sentences from word banks by hashes of the row number: the same in any partitioning."""
+    digit = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")))
+    pick = [F.get(F.array(*map(F.lit, bank)), (F.conv(F.substring(digit, 1 + 4 * k, 4), 16, 10).cast("long") % len(bank)).cast("int")) for k, bank in enumerate((SUBJECTS, VERBS, OBJECTS))]
+    return spark.range(n).select(F.concat(F.lit("syn-"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("doc_id"), F.concat_ws(" ", *pick).alias("text"))
+
+
+@query
+def synthetic_corpus(spark, sf):
+    return _synthetic(spark, 2000, 1337)
+
+
+@query
+def synthetic_heldout(spark, sf):
+    return _synthetic(spark, 500, 4242)
+
+
+# --- trained models and iterative work: rows only --------------------------------------------------------------
+@query
+def encode_documents(spark, sf):
+    found = codec.encoded_runs(docs(spark, sf), table(spark, sf, "slot_vocab"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("tokens"), joined(F.col("ids")).alias("ids"))
+
+
+@query
+def encode_stats(spark, sf):
+    found = codec.encoded_runs(docs(spark, sf), table(spark, sf, "slot_vocab"))
+    stats = found.select(F.inline("run_stats")).groupBy("slot").agg(F.count("*").alias("runs"), *(F.sum(c).alias(c) for c in ("chars", "bytes", "tokens")))
+    return stats.withColumn("tokens_per_char", text.ratio(F.col("tokens"), F.col("chars"))).withColumn("bytes_per_token", text.ratio(F.col("bytes"), F.col("tokens")))
+
+
+@query
+def decode_documents(spark, sf):
+    vocab = table(spark, sf, "slot_vocab")
+    d = docs(spark, sf).withColumn("nfc", scripts.nfc(F.col("text"))).where("text is not null")
+    back = codec.decoded(codec.encoded_runs(d, vocab, ("doc_id", "nfc")), vocab)
+    return back.agg(F.count("*").alias("documents"), F.count_if(F.col("decoded") == F.col("nfc")).alias("exact"))
+
+
+@query
+def fired_pieces(spark, sf):
+    found = codec.encoded_runs(docs(spark, sf), table(spark, sf, "slot_vocab"))
+    used = found.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    return slots.with_slot_of_id(used, table(spark, sf, "slot_ranges")).groupBy("slot").agg(F.count("*").alias("pieces"), F.sum("n").alias("tokens"))
+
+
+@query
+def bpe_train(spark, sf):
+    return training.train_bpe(training.run_counts(segment.runs(docs(spark, sf)).where("slot in ('NEUTRAL', 'CODE_MATH')")), 200)
+
+
+@query
+def unigram_train(spark, sf):
+    words = segment.runs(docs(spark, sf)).where("slot in ('DEVANAGARI', 'KANNADA')").select("slot", F.explode(F.regexp_extract_all("text", F.lit("\\s*\\S+"), F.lit(0))).alias("text"))
+    return training.train_unigram(training.run_counts(words), 600, 6, 2)
+
+
+@query
+def baseline_train(spark, sf):
+    """One vocabulary for all scripts: the same trainer over a single pseudo-slot."""
+    words = given(spark, sf).select(F.lit("ALL").alias("slot"), F.explode(F.regexp_extract_all("text", F.lit("\\s*\\S+"), F.lit(0))).alias("text"))
+    return training.train_bpe(training.run_counts(words), 200)
+
+
+@query
+def sweep_report(spark, sf):
+    """Merges and what the last one still gains, for several vocabulary sizes of each slot."""
+    merges = materialize(training.train_bpe(training.run_counts(segment.runs(docs(spark, sf)).where("slot in ('NEUTRAL', 'CODE_MATH')")), 160), "sweep")
+    sizes = spark.createDataFrame([(n,) for n in (20, 40, 80, 160)], "size int")
+    return merges.join(F.broadcast(sizes), F.col("rank") < F.col("size")).groupBy("slot", "size").agg(F.count("*").alias("merges"), F.sum("n").alias("saved"), F.min("n").alias("last_gain"))
+
+
+@query
+def shard_write(spark, sf):
+    import uuid
+
+    from ..session import shared_dir
+
+    folder = f"{shared_dir(spark)}/lipika/shards-{uuid.uuid4().hex}"
+    found = codec.encoded_runs(docs(spark, sf), table(spark, sf, "slot_vocab"))
+    return sinks.write_shards(found, folder.removeprefix("file://"), 100_000, 4961)
