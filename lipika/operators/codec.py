@@ -7,6 +7,7 @@ space and is broadcast; runs that repeat in a batch are encoded once.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.scripts import CATCHALL
 from .segment import with_runs
 
+WORD = re.compile(" [^ ]*|[^ ]+")
 UNSCORED = -20.0  # weight of a piece that has none
 
 
@@ -29,6 +31,7 @@ class Vocabulary:
     longest: dict[str, int]
     first_byte: int
     texts: list[str | int | None]  # a byte where the id stands for one, None for specials
+    apart: set[str]  # slots none of whose pieces has a space but at its start: there each space starts a piece
 
     @classmethod
     def load(cls, vocab: DataFrame) -> Vocabulary:
@@ -43,7 +46,12 @@ class Vocabulary:
                 texts[r["id"]] = r["token"]
                 score = r["score"] if r["score"] is not None and r["score"] == r["score"] else UNSCORED
                 pieces.setdefault(r["slot"], {}).setdefault(r["token"], (r["id"], score))
-        return cls(pieces, {s: max(map(len, p)) for s, p in pieces.items()}, first, texts)
+        apart = {s for s, p in pieces.items() if not any(" " in t[1:] for t in p)}
+        return cls(pieces, {s: max(map(len, p)) for s, p in pieces.items()}, first, texts, apart)
+
+    def parts(self, slot: str, text: str) -> list[str]:
+        """Spans of a run that can be encoded one by one without changing the best path: words with the space before."""
+        return WORD.findall(text) if slot in self.apart else [text]
 
     def encode(self, slot: str, text: str) -> list[int]:
         """The ids of a run: the best path over its pieces; uncovered characters as bytes."""
@@ -89,13 +97,16 @@ def encoded_runs(docs: DataFrame, vocab: DataFrame, keys: tuple[str, ...] = ("do
             runs = batch.column(kept)
             slots, texts = runs.values.field("slot").to_pylist(), runs.values.field("text").to_pylist()
             found = []
-            for key in zip(slots, texts):
-                hit = known.get(key)
-                if hit is None:
-                    if len(known) > 200_000:
-                        known.clear()
-                    hit = known[key] = own.encode(*key)
-                found.append(hit)
+            for slot, run in zip(slots, texts):
+                ids: list[int] = []
+                for part in own.parts(slot, run):
+                    hit = known.get((slot, part))
+                    if hit is None:
+                        if len(known) > 200_000:
+                            known.clear()
+                        hit = known[slot, part] = own.encode(slot, part)
+                    ids += hit
+                found.append(ids)
             sizes = np.array([len(x) for x in found], np.int64)
             flat = pa.array(np.fromiter((i for x in found for i in x), np.int32, int(sizes.sum())))
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)

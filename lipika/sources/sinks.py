@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def write_documents(docs: DataFrame, path: str) -> None:
     docs.select(F.col("doc_id").cast("string").alias("doc_id"), "kind", "text").write.mode("overwrite").json(path)
@@ -69,7 +71,7 @@ def write_shards(encoded: DataFrame, path: str, shard: int, vocab_size: int, key
     ``eos``; returns the manifest (shard_index, filename, num_tokens, dtype). ``path`` is a folder all executors share."""
     kind = "uint16" if vocab_size < 65536 else "uint32"
     ids = F.array_append("ids", F.lit(eos))
-    given = encoded.where("size(ids) > 0").select(key, ids.alias("ids"))
+    given = materialize(encoded.where("size(ids) > 0").select(key, ids.alias("ids")), "encoded")  # read three times below
     cut = shard_pieces(offsets(given, F.size("ids"), key), F.size("ids"), shard)
     pieces = cut.select("shard", "from_offset", F.expr("slice(ids, cast(from_offset - offset as int) + 1, cast(to_offset - from_offset as int))").alias("ids"))
     ordered = pieces.repartition("shard").sortWithinPartitions("shard", "from_offset")
