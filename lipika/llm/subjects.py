@@ -30,13 +30,14 @@ from ..session import materialize
 LABELLED = 20_000
 SHARE = 0.2  # TESTDATA.md: at least a fifth of the sentences
 LEAST_DOCS = 3  # labelled documents a word must occur in
-LIFT = 2.0  # how much more often than usual a term's documents have its subject
+LIFT = 2.0  # by how much the odds that a term's documents have its subject exceed the usual ones
 ROUNDS, ALPHA, LABEL_TRUST = 8, 0.05, 0.98
 CLEAR, WEAK = 0.9, 0.5
 SOFTWARE, MATHEMATICS = "software", "mathematics"
 FUNCTIONS = ("clear", "weak", "form", "section", "address", "source")
 
-SENTENCE = re.compile(r"\n+|(?<=[^\d\s][.!?।॥])\s+|(?<=[.!?।॥][”\"')\]])\s+")
+SENTENCE = re.compile(r"\n+|(?<=[^\d\s][.!?।॥])\s+|(?<=[.!?।॥][”\"')\]])\s+|(?<=\d[.!?।॥])\s+(?=[^\W\da-z_]|[“\"(\[])")
+LABEL = re.compile(r"[^\W\d]+ \d+\.")  # as in: Exercise 12.
 WORD = re.compile(r"[^\s\d!-@\[-`{-~।॥“”‘’—–…«»←-⯿]{2,}")
 ADDRESS = re.compile(r"(?:https?://|www\.)\S+|\]\(([^)\s]+)\)|[\w.+-]+@[\w-]+\.\w+")
 HEADING = re.compile(r"^#{1,6}\s")
@@ -50,7 +51,13 @@ CODE = re.compile(
 
 def units(text: str) -> list[str]:
     """The sentences and lines of a text, in order; blank ones and code fences are none."""
-    return [u for u in SENTENCE.split(text) if u and not u.isspace() and not FENCE.match(u)]
+    out: list[str] = []
+    for u in SENTENCE.split(text):
+        if u and not u.isspace() and not FENCE.match(u):
+            if out and LABEL.fullmatch(out[-1]):
+                u = f"{out.pop()} {u}"
+            out.append(u)
+    return out
 
 
 def words(unit: str) -> list[str]:
@@ -121,7 +128,8 @@ def fit_lexicon(texts: list[str], labels: list[set[str]], subjects: list[str]) -
         share_of[d, known] = 1 / max(len(known), 1)
         share_of[d, -1] = 0 if known else 1
     used = np.array([bool(w) for w in in_doc])
-    base = share_of[used].mean(0) + 1e-9
+    base = share_of[used].mean(0) + 1e-9 if used.any() else np.full(classes, 1 / classes)
+    needed = LIFT * base / (1 - base + LIFT * base)
     by_word: dict[str, np.ndarray] = {w: np.zeros(classes) for w, n in in_docs.items() if n >= LEAST_DOCS}
     for d, text in enumerate(texts):
         for w in in_doc[d]:
@@ -131,7 +139,7 @@ def fit_lexicon(texts: list[str], labels: list[set[str]], subjects: list[str]) -
     for w, c in sorted(by_word.items()):
         n = c.sum()
         low = (c - np.sqrt(c)) / n  # a cautious share
-        if (low[:-1] >= LIFT * base[:-1]).any() and c[:-1].max() >= 1.5:
+        if (low[:-1] >= needed[:-1]).any() and c[:-1].max() >= 1.5:
             kept.append(w)
     vocabulary = {w: k for k, w in enumerate(kept)}
     ids = [[vocabulary[w] for w in u if w in vocabulary] for u in lists]
@@ -177,7 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> tuple[Lexicon,
     """The lexicon, and the subject of each source that has one."""
     subjects = [r[0] for r in areas.where("subject is not null").select("subject").distinct().orderBy("subject").limit(1000).collect()]
     chosen = materialize(sample(labels_of(labels, subjects)), "labelled")  # LABELLED rows at most
-    rows = docs.join(F.broadcast(chosen), "doc_id").where("text is not null").select("doc_id", source_form("source").alias("source"), "text", "labels").orderBy("doc_id").toArrow()
+    own = docs.where("text is not null").select("doc_id", source_form(F.col("source")).alias("source"), "text")
+    rows = own.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").toArrow()
     texts, sets = rows["text"].to_pylist(), [set(x) for x in rows["labels"].to_pylist()]
     by_source: dict[str, Counter] = defaultdict(Counter)
     total = Counter()
@@ -240,18 +249,18 @@ def learn_accuracies(patterns: np.ndarray, times: np.ndarray, classes: int, roun
     """([function] accuracy, [pattern, class] posterior) of the latent subject of a sentence, by expectation-maximization.
 
     A function that votes names the true class with its accuracy and else any other one alike. Accuracies are
-    learned from the sentences on which several functions vote, as a lone vote says nothing of its accuracy; how
-    frequent the classes are is taken from the first vote of each sentence; one without a vote counts for none.
+    learned from the sentences on which several functions vote, as a lone vote says nothing of its accuracy. A
+    sentence without a vote deals with no subject; of the others every class is as likely beforehand.
     """
     base = classes + 1
     votes = np.stack([patterns // base**j % base for j in range(len(FUNCTIONS))], 1)
-    accuracy = np.array([0.95, 0.7, 0.9, 0.6, 0.6, 0.4])
-    first = np.where(votes[:, 2] > 0, votes[:, 2], np.where(votes[:, 0] > 0, votes[:, 0], np.where(votes[:, 1] > 0, votes[:, 1], classes)))
-    prior = np.bincount(first, times, base)[1:] + 1
-    prior /= prior.sum()
+    believed = np.array([0.95, 0.7, 0.9, 0.6, 0.6, 0.4])  # counts as ten sentences of evidence
+    accuracy = believed.copy()
+    silent = ~(votes > 0).any(1)
     several = times * ((votes > 0).sum(1) > 1)
     for _ in range(rounds):
-        score = np.tile(np.log(prior), (len(patterns), 1))
+        score = np.zeros((len(patterns), classes))
+        score[silent, :-1] = -np.inf
         for j in range(len(FUNCTIONS)):
             on = np.flatnonzero(votes[:, j])
             wrong = np.log((1 - accuracy[j]) / (classes - 1))
@@ -263,7 +272,7 @@ def learn_accuracies(patterns: np.ndarray, times: np.ndarray, classes: int, roun
         for j in range(len(FUNCTIONS)):
             on = np.flatnonzero(votes[:, j])
             right = mass[on, votes[on, j] - 1].sum()
-            accuracy[j] = np.clip((right + 7) / (mass[on].sum() + 10), 0.15, 0.995)
+            accuracy[j] = np.clip((right + 10 * believed[j]) / (mass[on].sum() + 10), 0.15, 0.995)
     return accuracy, post
 
 
@@ -277,7 +286,7 @@ def subject_shares(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> Data
     if not lexicon.subjects:
         return spark.createDataFrame([], "doc_id long, subject string, share double, units long")
     fitted = spark.sparkContext.broadcast((lexicon, sources))
-    given = docs.where("doc_id is not null and length(trim(text)) > 0").select("doc_id", source_form("source").alias("source"), "text")
+    given = docs.where("doc_id is not null and length(trim(text)) > 0").select("doc_id", source_form(F.col("source")).alias("source"), "text")
     kind = dict(docs.dtypes)["doc_id"]
     voted = materialize(given.mapInArrow(lambda it: _votes(it, fitted), f"doc_id {kind}, pattern long, n long"), "votes")
     counts = voted.groupBy("pattern").agg(F.sum("n").alias("n")).toArrow()  # bounded by the classes to the power of the functions
