@@ -154,6 +154,9 @@ def oracle_sql() -> dict[str, str]:
         "budget_allocation": f"""WITH {leading}, w AS (SELECT slot, pow(sum(strlen(text))::DOUBLE, 0.7) AS w FROM runs WHERE slot <> 'CATCHALL' GROUP BY slot),
             p AS (SELECT slot, CAST(round_even((8000 - 256) * w / (SELECT sum(w) FROM w), 0) AS INT) AS n FROM w), m AS (SELECT arg_max(slot, n) AS slot, 7744 - sum(n) AS drift FROM p)
             SELECT p.slot, CAST(p.n + CASE WHEN p.slot = m.slot THEN m.drift ELSE 0 END AS INT) AS rows FROM p, m UNION ALL SELECT 'CATCHALL', 256""",
+        "corpus_registry": "SELECT name, unnest(paths) AS path, string_split(glob_pattern, '/')[-1] AS pattern, regexp_replace(lower(encoding), '[^a-z0-9]', '', 'g') AS encoding, weight FROM corpus_entries",
+        "documents_json_roundtrip": f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, kind, md5(text) AS digest FROM {TEXTS}",
+        "artifact_verify": "SELECT unnest(['vocab', 'layout']) AS part, NULL::VARCHAR AS problem",
         "synthetic_corpus": synthetic(2000, 1337),
         "synthetic_heldout": synthetic(500, 4242),
     }

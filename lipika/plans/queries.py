@@ -619,3 +619,37 @@ def shard_write(spark, sf):
     folder = f"{shared_dir(spark)}/lipika/shards-{uuid.uuid4().hex}"
     found = codec.encoded_runs(docs(spark, sf), table(spark, sf, "slot_vocab"))
     return sinks.write_shards(found, folder.removeprefix("file://"), 100_000, 4961)
+
+
+@query
+def corpus_registry(spark, sf):
+    """The folders of each registered corpus with the name pattern of its files and its encoding in one notation."""
+    e = table(spark, sf, "corpus_entries")
+    encoding = F.regexp_replace(F.lower("encoding"), "[^a-z0-9]", "")
+    return e.select("name", F.explode("paths").alias("path"), F.substring_index("glob_pattern", "/", -1).alias("pattern"), encoding.alias("encoding"), "weight")
+
+
+@query
+def documents_json_roundtrip(spark, sf):
+    import uuid
+
+    from ..session import shared_dir
+    from ..sources.files import read_documents
+
+    path = f"{shared_dir(spark)}/lipika/docs-{uuid.uuid4().hex}"
+    d = given(spark, sf).select(F.col("doc_id").cast("string").alias("doc_id"), "kind", "text")
+    sinks.write_documents(d, path)
+    return read_documents(spark, path).select("doc_id", "kind", F.md5("text").alias("digest"))
+
+
+@query
+def artifact_verify(spark, sf):
+    """Freeze the vocabulary, read it again, compare the files with the manifest: one row per file and its problem, if any."""
+    import uuid
+
+    from ..model import TokenizerModel
+    from ..session import shared_dir
+
+    path = f"{shared_dir(spark)}/lipika/frozen-{uuid.uuid4().hex}"
+    manifest = TokenizerModel(table(spark, sf, "slot_vocab"), table(spark, sf, "slot_ranges")).save(path)
+    return manifest.join(sinks.verify(spark, path), "file", "left").select(F.element_at(F.split("file", "/"), 1).alias("part"), F.col("problem"))

@@ -60,7 +60,10 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_lipika_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="lipika-zip-"), "lipika.zip")
+    base = shared_dir(spark).removeprefix("file://")
+    folder = os.path.join(base, "lipika") if base.startswith("/") and os.path.isdir(os.path.dirname(base) or "/") else tempfile.mkdtemp(prefix="lipika-zip-")
+    os.makedirs(folder, exist_ok=True)
+    target = os.path.join(folder, f"lipika-{uuid.uuid4().hex}.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
         for folder, _, files in os.walk(root):
             for name in files:
