@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-LABELLED = 20_000
+LABELLED = 10_000
 SHARE = 0.2  # TESTDATA.md: at least a fifth of the sentences
 LEAST_DOCS = 3  # labelled documents a word must occur in
 LIFT = 2.0  # by how much the odds that a term's documents have its subject exceed the usual ones
