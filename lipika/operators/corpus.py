@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD_SPACE, strip, words
+from .prefix import with_before, with_number
 
 
 def loose_text(line: Column, key: str = "text") -> Column:
@@ -18,21 +19,9 @@ def loose_text(line: Column, key: str = "text") -> Column:
     return F.when(is_object & parsed, F.coalesce(*field)).otherwise(F.nullif(own, F.lit("")))
 
 
-def running_cut(docs: DataFrame, size: Column, limit: Column | int, order: list, groups: list[str] | None = None) -> DataFrame:
+def running_cut(docs: DataFrame, size: Column, limit: Column | int, order: list[str], groups: list[str] | None = None) -> DataFrame:
     """Rows in order until their sizes reach ``limit``, with the row that crosses it. Per group if groups are given."""
-    window = (Window.partitionBy(*groups) if groups else Window.partitionBy()).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return docs.withColumn("__before", F.coalesce(F.sum(size).over(window), F.lit(0))).where(F.col("__before") < limit).drop("__before")
-
-
-def distributed_cut(docs: DataFrame, size: Column, limit: int, key: str, slices: int = 256) -> DataFrame:
-    """running_cut over the whole table in the order of ``key`` without a single sorted partition: range slices, the sums
-    of the slices before each (one row per slice), and a running sum within the slice."""
-    sliced = docs.withColumn("__size", size.cast("long")).repartitionByRange(slices, key).withColumn("__slice", F.spark_partition_id())
-    sums = sliced.groupBy("__slice").agg(F.sum("__size").alias("__sum"))
-    start = sums.withColumn("__start", F.coalesce(F.sum("__sum").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
-    inside = Window.partitionBy("__slice").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    placed = sliced.withColumn("__own", F.coalesce(F.sum("__size").over(inside), F.lit(0))).join(F.broadcast(start.limit(slices)), "__slice")
-    return placed.where(F.col("__own") + F.col("__start") < limit).drop("__size", "__slice", "__own", "__start")
+    return with_before(docs, size, order, groups, "__before").where(F.col("__before") < limit).drop("__before")
 
 
 def seeded_key(*columns, seed: int) -> Column:
@@ -40,11 +29,15 @@ def seeded_key(*columns, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns)))
 
 
-def positional_split(docs: DataFrame, held: float, order: list, groups: list[str]) -> DataFrame:
+def positional_split(docs: DataFrame, held: float, order: list[str], groups: list[str]) -> DataFrame:
     """``docs`` with ``part``: of each group the first max(1, floor(n * (1 - held))) rows are train, the others held."""
-    place = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
-    n = F.count("*").over(Window.partitionBy(*groups))
-    return docs.withColumn("part", F.when(place <= F.greatest(F.lit(1), F.floor(n * (1 - held))), "train").otherwise("held"))
+    counts = docs.groupBy(*groups).agg(F.count("*").alias("__n")).select(*(F.col(g).alias(f"__c_{g}") for g in groups), "__n")
+    same = F.lit(True)
+    for g in groups:
+        same &= F.col(g).eqNullSafe(F.col(f"__c_{g}"))
+    placed = with_number(docs, order, groups, "__place").join(counts, same)
+    part = F.when(F.col("__place") <= F.greatest(F.lit(1), F.floor(F.col("__n") * (1 - held))), "train").otherwise("held")
+    return placed.withColumn("part", part).drop("__place", "__n", *(f"__c_{g}" for g in groups))
 
 
 def heldout_by_shuffle(docs: DataFrame, seed: int) -> DataFrame:
@@ -72,4 +65,4 @@ def extract(docs: DataFrame, least: int, most: int) -> DataFrame:
     return docs.withColumn("text", strip(F.col("text"))).where(F.length("text") >= least).withColumn("text", F.substring("text", 1, most))
 
 
-__all__ = ["WORD_SPACE", "distributed_cut", "extract", "heldout_by_shuffle", "loose_text", "positional_split", "running_cut", "seeded_key", "sentence_overlap", "sentences"]
+__all__ = ["WORD_SPACE", "extract", "heldout_by_shuffle", "loose_text", "positional_split", "running_cut", "seeded_key", "sentence_overlap", "sentences"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scripts, text
 from ..operators import codec, corpus, segment, slots, training
+from ..operators.prefix import with_before, with_number
 from ..session import materialize, ship, table
 from ..sources import sinks
 from ..sources.files import read_slot_corpus
@@ -100,13 +101,15 @@ def concat_string_fields(spark, sf):
 
 @query
 def sample_by_char_budget(spark, sf):
-    cut = corpus.running_cut(given(spark, sf), F.length("text"), 20_000, ["doc_id"], ["lang"])
-    return cut.groupBy("lang").agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("chars"))
+    sized = given(spark, sf).select("doc_id", "lang", F.length("text").alias("n"))
+    cut = corpus.running_cut(sized, F.col("n"), 20_000, ["doc_id"], ["lang"])
+    return cut.groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n").alias("chars"))
 
 
 @query
 def char_cap_take(spark, sf):
-    return corpus.distributed_cut(given(spark, sf), F.length("text"), 200_000, "doc_id").select("doc_id", F.length("text").cast("long").alias("chars"))
+    sized = given(spark, sf).select("doc_id", F.length("text").cast("long").alias("chars"))
+    return corpus.running_cut(sized, F.col("chars"), 200_000, ["doc_id"])
 
 
 @query
@@ -121,14 +124,13 @@ def heldout_word_shuffle(spark, sf):
 
 @query
 def positional_split(spark, sf):
-    return corpus.positional_split(docs(spark, sf), 0.15, ["doc_id"], ["lang"]).groupBy("lang", "part").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_id"))
+    return corpus.positional_split(docs(spark, sf).select("doc_id", "lang"), 0.15, ["doc_id"], ["lang"]).groupBy("lang", "part").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_id"))
 
 
 @query
 def seeded_shuffle(spark, sf):
-    key = corpus.seeded_key("doc_id", seed=1337)
-    place = F.row_number().over(Window.partitionBy("kind").orderBy(key, "doc_id"))
-    return docs(spark, sf).select("doc_id", "kind", place.cast("long").alias("place"))
+    keyed = docs(spark, sf).select("doc_id", "kind", corpus.seeded_key("doc_id", seed=1337).alias("key"))
+    return with_number(keyed, ["key", "doc_id"], ["kind"], "place").select("doc_id", "kind", "place")
 
 
 @query
@@ -420,7 +422,7 @@ def lm_windows(spark, sf):
 @query
 def shard_plan(spark, sf):
     size = F.octet_length("text") + 1
-    placed = sinks.offsets(given(spark, sf).where("text <> ''").select("doc_id", size.cast("long").alias("n")), F.col("n"), "doc_id")
+    placed = with_before(given(spark, sf).where("text <> ''").select("doc_id", size.cast("long").alias("n")), F.col("n"), ["doc_id"], out="offset")
     cut = sinks.shard_pieces(placed, F.col("n"), 100_000)
     return cut.groupBy("shard").agg(F.count("*").alias("pieces"), F.sum(F.col("to_offset") - F.col("from_offset")).alias("tokens"))
 

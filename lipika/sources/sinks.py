@@ -6,9 +6,10 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.prefix import with_before
 from ..session import materialize
 
 
@@ -48,17 +49,6 @@ def verify(spark, path: str) -> DataFrame:
     return both.select("file", problem.alias("problem")).where("problem is not null")
 
 
-def offsets(docs: DataFrame, size: Column, key: str, slices: int = 256) -> DataFrame:
-    """``docs`` with ``offset``: the sizes of all rows before in the order of ``key``. Range slices, their sums, and a
-    running sum in each slice: no step holds the whole table."""
-    sliced = docs.withColumn("__n", size.cast("long")).repartitionByRange(slices, key).withColumn("__slice", F.spark_partition_id())
-    sums = sliced.groupBy("__slice").agg(F.sum("__n").alias("__sum"))
-    start = sums.withColumn("__start", F.coalesce(F.sum("__sum").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
-    inside = Window.partitionBy("__slice").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    own = sliced.withColumn("__own", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
-    return own.join(F.broadcast(start.limit(slices)), "__slice").withColumn("offset", F.col("__own") + F.col("__start")).drop("__n", "__slice", "__own", "__start")
-
-
 def shard_pieces(placed: DataFrame, size: Column, shard: int) -> DataFrame:
     """(shard, from_offset, to_offset, ...): documents cut where a shard ends; offsets within the whole stream."""
     last = F.floor((F.col("offset") + size - 1) / shard)
@@ -72,7 +62,7 @@ def write_shards(encoded: DataFrame, path: str, shard: int, vocab_size: int, key
     kind = "uint16" if vocab_size < 65536 else "uint32"
     ids = F.array_append("ids", F.lit(eos))
     given = materialize(encoded.where("size(ids) > 0").select(key, ids.alias("ids")), "encoded")  # read three times below
-    cut = shard_pieces(offsets(given, F.size("ids"), key), F.size("ids"), shard)
+    cut = shard_pieces(with_before(given, F.size("ids"), [key], out="offset"), F.size("ids"), shard)
     pieces = cut.select("shard", "from_offset", F.expr("slice(ids, cast(from_offset - offset as int) + 1, cast(to_offset - from_offset as int))").alias("ids"))
     ordered = pieces.repartition("shard").sortWithinPartitions("shard", "from_offset")
 
@@ -103,4 +93,4 @@ def manifest_json(manifest: DataFrame) -> str:
     return json.dumps({"shards": rows, "total_tokens": sum(r["num_tokens"] for r in rows), "num_shards": len(rows)})
 
 
-__all__ = ["freeze", "hashes", "manifest_json", "offsets", "shard_pieces", "verify", "write_documents", "write_shards", "write_slot_corpus"]
+__all__ = ["freeze", "hashes", "manifest_json", "shard_pieces", "verify", "write_documents", "write_shards", "write_slot_corpus"]
