@@ -101,6 +101,7 @@ class Tables:
             self.action[cp] = KEEP
         for cp in expand:
             self.action[cp] = EXPAND
+            self.picture[cp] = False
         self.selected = self.action != KEEP
         self.selected[0x0D] = True  # a carriage return goes before a line feed and is one otherwise
         self.action[0x0D] = KEEP
