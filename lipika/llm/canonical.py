@@ -94,7 +94,7 @@ class Tables:
                     if not unicodedata.is_normalized("NFC", ch):
                         quick.add(cp)
         for cp, to in self.decompose.items():
-            if any(to[0] in own for own, _ in SCRIPTS) or len(to) == 1:
+            if cp not in expand and (any(to[0] in own for own, _ in SCRIPTS) or len(to) == 1):
                 expand[cp] = to
         for cp in (0x0B, 0x0C, 0x85):
             expand[cp] = "\n"
