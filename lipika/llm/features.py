@@ -149,14 +149,15 @@ def _looks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
 
 
 def _given(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text"), F.col("split").cast("string").alias("split")).where("doc_id is not null and length(text) > 0")
+    split = F.col("split").cast("string") if "split" in docs.columns else F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text"), split.alias("split")).where("doc_id is not null and length(text) > 0")
 
 
 def word_features(docs: DataFrame, least_words: int = 8) -> DataFrame:
     """One row per record with at least ``least_words`` words: class_id (equal for equal multisets of words), its
     distinct words as sorted hashes packed into ``features``, how often each occurs in ``counts``, and two sketches.
 
-    ``docs`` needs doc_id, text and split; other columns are ignored. Rows without doc_id or text are left out,
+    ``docs`` needs doc_id and text, and split where splits matter; other columns are ignored. Rows without doc_id or text are left out,
     as are empty and short texts. Repeated deliveries stay repeated rows. A word that occurs more than 65,535
     times in one record counts that often. Word hashes have 32 bits: two records of n words share a false word
     with probability n*n / 2**32.
