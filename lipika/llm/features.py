@@ -18,7 +18,7 @@ from .arrowtext import codepoints_of, mix64, row_index
 from .canonical import canonical_points
 
 BASE = 0x9E3779B97F4A7C15  # odd, so that its powers can be divided out again
-SCHEMA = "doc_id string, split string, class_id long, words int, sketch_a long, sketch_b long, features binary, counts binary"
+SCHEMA = "doc_id string, split string, text_id long, class_id long, words int, sketch_a long, sketch_b long, features binary, counts binary"
 LOOK_SCHEMA = "doc_id string, look binary, raw binary"
 
 
@@ -125,7 +125,7 @@ def _features(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
         size = np.bincount(row, times, rows).astype(np.int64)
         keep = size >= least
         mine, distinct = keep[row], np.bincount(row, minlength=rows)
-        out = [batch.column(names.index("doc_id")), batch.column(names.index("split")), pa.array(bag_ids(word, times, distinct)), pa.array(size.astype(np.int32))]
+        out = [batch.column(names.index("doc_id")), batch.column(names.index("split")), batch.column(names.index("text_id")), pa.array(bag_ids(word, times, distinct)), pa.array(size.astype(np.int32))]
         out = [x.filter(pa.array(keep)) for x in out]
         # features are kept by their upper 32 bits, which are sorted as the whole hashes are
         words32, times16 = (word[mine] >> np.uint64(32)).astype("<u4"), np.minimum(times[mine], 65535).astype("<u2")
@@ -154,7 +154,8 @@ def _given(docs: DataFrame) -> DataFrame:
 
 
 def word_features(docs: DataFrame, least_words: int = 8) -> DataFrame:
-    """One row per record with at least ``least_words`` words: class_id (equal for equal multisets of words), its
+    """One row per record with at least ``least_words`` words: text_id (equal for equal stored texts), class_id (equal for equal
+    multisets of words), its
     distinct words as sorted hashes packed into ``features``, how often each occurs in ``counts``, and two sketches.
 
     ``docs`` needs doc_id and text, and split where splits matter; other columns are ignored. Rows without doc_id or text are left out,
@@ -162,7 +163,7 @@ def word_features(docs: DataFrame, least_words: int = 8) -> DataFrame:
     times in one record counts that often. Word hashes have 32 bits: two records of n words share a false word
     with probability n*n / 2**32.
     """
-    return _given(docs).mapInArrow(lambda it: _features(it, least_words), SCHEMA)
+    return _given(docs).withColumn("text_id", F.xxhash64("text")).mapInArrow(lambda it: _features(it, least_words), SCHEMA)
 
 
 def text_looks(docs: DataFrame, least_words: int = 8) -> DataFrame:

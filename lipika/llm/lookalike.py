@@ -10,6 +10,17 @@ from .features import text_looks
 from .similarity import EXPAND
 
 
+def look_alike_classes(docs: DataFrame, least_words: int = 8) -> DataFrame:
+    """One row per record and split of those that look like a record with other characters: digests of its consistent
+    form (look) and of its text (raw), the copies of that text, and their representative in look_alike_pairs."""
+    looks = materialize(text_looks(docs, least_words).distinct(), "looks")
+    several = looks.groupBy("look").agg(F.min("raw").alias("least"), F.max("raw").alias("most")).where("least <> most").select("look")
+    own = Window.partitionBy("look", "raw")
+    members = looks.join(several, "look").withColumn("copies", F.count("*").over(own)).withColumn("representative", F.min("doc_id").over(own))
+    splits = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("split").cast("string").alias("split")).distinct()
+    return members.join(splits, "doc_id").select("doc_id", "split", F.hex("look").alias("look"), F.hex("raw").alias("raw"), "copies", "representative")
+
+
 def look_alike_pairs(docs: DataFrame, least_words: int = 8, expand: int = EXPAND) -> DataFrame:
     """(doc_id_a, doc_id_b), smaller id first: records that look the same but are not the same characters.
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -93,14 +93,14 @@ def similar_classes(features: DataFrame, similarity: float = SIMILARITY, recall:
 def near_duplicate_pairs(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, least_words: int = 8, expand: int = EXPAND) -> DataFrame:
     """(doc_id_a, doc_id_b), smaller id first: different records with at least ``similarity`` of their words in common.
 
-    Equal records are pairs too. Classes of more than ``expand`` equal records appear as pairs with their
-    representative (the least doc_id), which also stands for them in pairs with other classes; near_duplicate_classes
-    has every member. Null ids or texts, empty texts and texts below ``least_words`` words are in no pair; extra
+    Equal records are pairs too. More than ``expand`` exact copies of one stored text appear as pairs with their
+    representative (the least doc_id), which also stands for them in pairs with other texts; near_duplicate_classes
+    has every copy. Different texts are all written out, also those with equal multisets of words. Null ids or texts, empty texts and texts below ``least_words`` words are in no pair; extra
     columns are ignored; an empty table gives no rows.
     """
     features = materialize(word_features(docs, least_words), "neardup-features")
     pairs = similar_classes(features, similarity, recall)
-    members = materialize(memberships(features), "neardup-members")
+    members = materialize(memberships(features, "class_id", "text_id"), "neardup-members")
     shown = listed(members, expand).select("class_id", "doc_id")
     across = pairs.join(shown.select(F.col("class_id").alias("a"), F.col("doc_id").alias("x")), "a").join(shown.select(F.col("class_id").alias("b"), F.col("doc_id").alias("y")), "b")
     across = across.where("x <> y").select(*ordered("x", "y"))
@@ -129,12 +129,14 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, least_words: int = 8) -> DataFrame:
-    """One row per record with enough words: its class of equal records, the class's size, the number of similar other
+    """One row per record with enough words: its class of equal records, the class's size, the least doc_id with the very
+    same text, the number of similar other
     classes (links), and the group of all classes connected by links. Same rules as near_duplicate_pairs."""
     features = materialize(word_features(docs, least_words), "neardup-features")
     pairs = materialize(similar_classes(features, similarity, recall).select("a", "b"), "neardup-pairs")
     ends = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id")))
     links = ends.groupBy("class_id").agg(F.count("*").alias("links"))
     groups = connected(pairs).select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
-    members = memberships(features).select("doc_id", "class_id", "class_size")
-    return members.join(links, "class_id", "left").join(groups, "class_id", "left").select("doc_id", "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("group_id", "class_id").alias("group_id"))
+    copies = memberships(features, "class_id", "text_id").groupBy("class_id", "doc_id").agg(F.min("representative").alias("representative"))
+    members = copies.withColumn("class_size", F.count("*").over(Window.partitionBy("class_id"))).select("doc_id", "class_id", "class_size", "representative")
+    return members.join(links, "class_id", "left").join(groups, "class_id", "left").select("doc_id", "class_id", "class_size", "representative", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("group_id", "class_id").alias("group_id"))

@@ -35,6 +35,10 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.look_alike_pairs(table(spark, sf, "corpus_docs"))
 
 
+def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.look_alike_classes(table(spark, sf, "corpus_docs"))
+
+
 def p3_canonical_text(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "corpus_docs").select("doc_id", "text", "loaded_at")
     return canonical.with_canonical(docs).select("doc_id", "loaded_at", "canonical_text", (F.col("text") != F.col("canonical_text")).alias("changed"))
@@ -44,6 +48,10 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return crosssplit.as_pairs(crosssplit.cross_split_pairs(table(spark, sf, "corpus_docs")))
 
 
+def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return crosssplit.overlap_classes(table(spark, sf, "corpus_docs"))
+
+
 def p4_overlap_report(spark: SparkSession, sf: str) -> DataFrame:
     return crosssplit.overlap_report(table(spark, sf, "corpus_docs"))
 
@@ -108,8 +116,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         p2_found,
         p2_classes,
         p3_found,
+        p3_classes,
         p3_canonical_text,
         p4_found,
+        p4_classes,
         p4_overlap_report,
         p5_found,
         p5_restored,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .features import unpack
 
-EXPAND = 256  # classes of equal records up to this size are written out as pairs of all members
+EXPAND = 256  # up to so many exact copies of one stored text are all written out in pairs, of more only the least doc_id
 
 
 def overlaps(fa: pa.Array, ca: pa.Array, fb: pa.Array, cb: pa.Array) -> np.ndarray:
@@ -80,24 +80,25 @@ def verified(pairs: DataFrame, features: DataFrame, least: float, cosine: float
     return both.mapInArrow(lambda it: _verify(it, least, cosine), "a long, b long, similarity double, cosine double")
 
 
-def memberships(features: DataFrame, *side: str) -> DataFrame:
-    """(class_id, doc_id, class_size, representative): each record once, however often it was delivered."""
-    members = features.select("class_id", "doc_id", *side).distinct()
-    own = Window.partitionBy("class_id", *side)
-    return members.withColumn("class_size", F.count("*").over(own)).withColumn("representative", F.min("doc_id").over(own))
+def memberships(features: DataFrame, *by: str) -> DataFrame:
+    """(*by, doc_id, copies, representative): each record once, however often it was delivered; copies are the records
+    that share the columns ``by``, the representative is their least doc_id."""
+    own = Window.partitionBy(*by)
+    return features.select(*by, "doc_id").distinct().withColumn("copies", F.count("*").over(own)).withColumn("representative", F.min("doc_id").over(own))
 
 
 def listed(members: DataFrame, expand: int = EXPAND) -> DataFrame:
-    """The members that stand for a class in pairs of records: all, or of a class above ``expand`` its representative."""
-    return members.where((F.col("class_size") <= expand) | (F.col("doc_id") == F.col("representative")))
+    """The members that stand for a text in pairs of records: all, or of more than ``expand`` exact copies their
+    representative. Different texts of a class all stay."""
+    return members.where((F.col("copies") <= expand) | (F.col("doc_id") == F.col("representative")))
 
 
 def same_class_pairs(members: DataFrame, expand: int = EXPAND) -> DataFrame:
-    """Pairs of records with the same words: all of a class, or above ``expand`` each member with the representative."""
-    many = members.where("class_size > 1")
-    small = many.where(F.col("class_size") <= expand).select("class_id", "doc_id")
-    pairs = small.alias("x").join(small.alias("y"), F.expr("x.class_id = y.class_id and x.doc_id < y.doc_id")).select(F.col("x.doc_id").alias("doc_id_a"), F.col("y.doc_id").alias("doc_id_b"))
-    star = many.where((F.col("class_size") > expand) & (F.col("doc_id") != F.col("representative"))).select(F.col("representative").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"))
+    """Pairs of records with the same words: all that are listed, and of more than ``expand`` exact copies each with the
+    representative."""
+    shown = listed(members, expand).select("class_id", "doc_id")
+    pairs = shown.alias("x").join(shown.alias("y"), F.expr("x.class_id = y.class_id and x.doc_id < y.doc_id")).select(F.col("x.doc_id").alias("doc_id_a"), F.col("y.doc_id").alias("doc_id_b"))
+    star = members.where((F.col("copies") > expand) & (F.col("doc_id") != F.col("representative"))).select(F.col("representative").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"))
     return pairs.unionByName(star)
 
 

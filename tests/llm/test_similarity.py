@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lipika.llm import canonical, crosssplit, features, neardup, similarity
+from lipika.llm import canonical, crosssplit, features, lookalike, neardup, similarity
 
 VOCABULARY = [f"{a}{b}" for a in "hest vlim rusk morv elg zang tov nub kel dul".split() for b in "mor quil vash brud gusk lorn osk yest".split()]
 STOP = "the of and was kept beside when old with in".split()
@@ -134,3 +134,21 @@ def test_without_splits(spark):
     frame = spark.createDataFrame(rows, "doc_id string, text string")
     assert [tuple(r) for r in neardup.near_duplicate_pairs(frame, similarity=0.7).collect()] == [("a", "b")]
     assert crosssplit.cross_split_pairs(frame).count() == 0
+
+
+def test_different_texts_of_a_large_class_are_all_paired(spark):
+    words = "one two three four five six seven eight nine copa".split()
+    rows = [(f"c{k:04d}", " ".join(words), "train") for k in range(300)]
+    rows += [(f"l{k}", " ".join(words[:-1]) + " cоpa", "test") for k in range(3)]  # a Cyrillic o
+    rows += [("m0", " ".join(words[::-1]), "valid"), ("n0", " ".join([*words[:-1], "end"]), "test")]
+    frame = spark.createDataFrame(rows, "doc_id string, text string, split string")
+    shown = ["c0000", "l0", "l1", "l2", "m0", "n0"]
+    got = {tuple(r) for r in neardup.near_duplicate_pairs(frame).collect()}
+    assert got == set(combinations(shown, 2)) | {("c0000", f"c{k:04d}") for k in range(1, 300)}
+    assert {tuple(r) for r in lookalike.look_alike_pairs(frame).collect()} <= got
+    assert {tuple(r) for r in crosssplit.as_pairs(crosssplit.cross_split_pairs(frame)).collect()} == {("c0000", x) for x in shown[1:]}
+    members = crosssplit.overlap_classes(frame).collect()
+    assert {r["doc_id"] for r in members if r["overlapping"]} == {r[0] for r in rows} and len(members) == len(rows)
+    assert {r["representative"] for r in members if r["copies"] == 300} == {"c0000"}
+    alike = {(r["doc_id"], r["split"]) for r in lookalike.look_alike_classes(frame).collect()}
+    assert alike == {(r[0], r[2]) for r in rows[:303]}
