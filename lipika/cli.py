@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import functions as F
 
-from .operators import codec, segment, slots, training
+from .operators import build, codec, segment
 from .session import build_session, ship
 from .sources import files, sinks
 
@@ -33,12 +33,12 @@ def main(argv: list[str] | None = None) -> int:
         found = segment.runs(docs, mode=args.mode).groupBy("slot").agg(F.count("*").alias("runs"), F.sum(F.length("text")).alias("chars"), F.sum(F.octet_length("text")).alias("bytes"))
         found.coalesce(1).write.mode("overwrite").json(args.output)
     elif args.command == "build":
-        runs = segment.runs(docs, mode=args.mode)
-        sizes = {r["slot"]: r["bytes"] for r in runs.groupBy("slot").agg(F.sum(F.octet_length("text")).alias("bytes")).limit(slots.LIMIT).collect()}
-        budget = slots.allocate(sizes, args.total)
+        vocab, ranges, budget = build.train(docs, args.total, args.mode)
         print(budget)
-        counts = training.run_counts(runs.where("slot <> 'CATCHALL'"))
-        training.train_bpe(counts, max(budget.values())).write.mode("overwrite").parquet(args.output)
+        sinks.freeze(vocab, ranges, args.output)
+        checked = build.gates(docs, args.output, args.mode).collect()
+        print(*(f"{r['gate']}: {'passed' if r['passed'] else 'failed'}" for r in checked), sep="\n")
+        return int(not all(r["passed"] for r in checked))
     else:
         vocab = spark.read.parquet(args.vocab)
         encoded = codec.encoded_runs(docs, vocab, mode=args.mode)

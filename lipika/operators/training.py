@@ -29,9 +29,10 @@ def first_pairs(counts: DataFrame) -> DataFrame:
     return counts.withColumn("b", utf8_bytes(F.col("text"))).where("size(b) >= 2").select("slot", "n", F.inline(pairs)).groupBy("slot", "first", "second").agg(F.sum("n").alias("n"))
 
 
-def bpe_merges(words: dict[bytes, int], merges: int) -> list[tuple[bytes, bytes, int]]:
-    """(left, right, count) of each merge in order: always the most frequent pair, the smallest bytes of equal ones."""
-    parts = [[bytes([b]) for b in w] for w in words]
+def bpe_merges(words: dict, merges: int) -> list[tuple]:
+    """(left, right, count) of each merge in order: always the most frequent pair, the smallest of equal ones. Words and
+    pieces are bytes or texts."""
+    parts = [[w[i : i + 1] for i in range(len(w))] for w in words]
     weight = list(words.values())
     count: Counter = Counter()
     where: dict[tuple[bytes, bytes], set[int]] = defaultdict(set)
@@ -117,32 +118,55 @@ def expectation(runs: dict[str, int], score: dict[str, float], longest: int) ->
     return used, total
 
 
+def bpe_pieces(runs: dict[str, int], size: int, longest: int = 48) -> list[tuple[str, float]]:
+    """(piece, weight) of at most ``size`` pieces: the characters, the most frequent first, then what merges make. All
+    weigh the same, so that the encoder takes the fewest pieces."""
+    seen: Counter = Counter()
+    for t, n in runs.items():
+        for c in t:
+            seen[c] += n
+    pieces = dict.fromkeys(sorted(seen, key=lambda c: (-seen[c], c))[:size])
+    wanted = size
+    while len(pieces) < size:
+        merges = bpe_merges(runs, wanted)
+        pieces |= dict.fromkeys([a + b for a, b, _ in merges if len(a + b) <= longest][: size - len(pieces)])
+        if len(merges) < wanted:
+            break
+        wanted *= 2
+    return [(p, -math.log(len(pieces))) for p in pieces]
+
+
+def unigram_pieces(runs: dict[str, int], size: int, longest: int = 8, rounds: int = 3, keep: float = 0.75) -> list[tuple[str, float]]:
+    """(piece, natural-log weight) of at most ``size`` pieces, see train_unigram."""
+    seeds: Counter = Counter()
+    for t, n in sorted(runs.items()):
+        for i in range(len(t)):
+            for k in range(1, min(longest, len(t) - i) + 1):
+                seeds[t[i : i + k]] += n
+    single = {p for p in seeds if len(p) == 1}
+    ranked = sorted((p for p, n in seeds.items() if len(p) > 1 and n > 1), key=lambda p: (-seeds[p] * len(p), p))
+    pieces = {p: float(seeds[p]) for p in [*sorted(single), *ranked[: 4 * size]]}
+    while True:
+        for _ in range(rounds):
+            mass = math.log(sum(pieces.values()))
+            score = {p: math.log(v) - mass for p, v in pieces.items()}
+            used, _ = expectation(runs, score, longest)
+            pieces = {p: max(used.get(p, 0.0), 1e-3 if len(p) == 1 else 0.0) for p in pieces}
+            pieces = {p: v for p, v in pieces.items() if v > 0.5 or len(p) == 1}
+        if len(pieces) <= size:
+            break
+        order = sorted(pieces, key=lambda p: (len(p) > 1, -pieces[p] * len(p), p))
+        pieces = {p: pieces[p] for p in order[: max(size, int(len(order) * keep))]}
+    mass = math.log(sum(pieces.values())) if pieces else 0.0
+    return [(p, math.log(v) - mass) for p, v in sorted(pieces.items())]
+
+
 def train_unigram(counts: DataFrame, size: int, longest: int = 8, rounds: int = 3, keep: float = 0.75) -> DataFrame:
     """(slot, piece, score): unigram pieces of each slot with natural-log weights. From the most useful seeds, rounds of
     expectation-maximization and pruning down to ``size`` pieces; single characters stay."""
 
     def own(pdf: pd.DataFrame) -> pd.DataFrame:
-        runs = {t: int(n) for t, n in zip(pdf["text"], pdf["n"]) if t}
-        seeds: Counter = Counter()
-        for t, n in sorted(runs.items()):
-            for i in range(len(t)):
-                for k in range(1, min(longest, len(t) - i) + 1):
-                    seeds[t[i : i + k]] += n
-        single = {p for p in seeds if len(p) == 1}
-        ranked = sorted((p for p, n in seeds.items() if len(p) > 1 and n > 1), key=lambda p: (-seeds[p] * len(p), p))
-        pieces = {p: float(seeds[p]) for p in [*sorted(single), *ranked[: 4 * size]]}
-        while True:
-            for _ in range(rounds):
-                mass = math.log(sum(pieces.values()))
-                score = {p: math.log(v) - mass for p, v in pieces.items()}
-                used, _ = expectation(runs, score, longest)
-                pieces = {p: max(used.get(p, 0.0), 1e-3 if len(p) == 1 else 0.0) for p in pieces}
-                pieces = {p: v for p, v in pieces.items() if v > 0.5 or len(p) == 1}
-            if len(pieces) <= size:
-                break
-            order = sorted(pieces, key=lambda p: (len(p) > 1, -pieces[p] * len(p), p))
-            pieces = {p: pieces[p] for p in order[: max(size, int(len(order) * keep))]}
-        mass = math.log(sum(pieces.values())) if pieces else 0.0
-        return pd.DataFrame([(pdf["slot"].iloc[0], p, math.log(v) - mass) for p, v in sorted(pieces.items())], columns=["slot", "piece", "score"])
+        found = unigram_pieces({t: int(n) for t, n in zip(pdf["text"], pdf["n"]) if t}, size, longest, rounds, keep)
+        return pd.DataFrame([(pdf["slot"].iloc[0], p, w) for p, w in found], columns=["slot", "piece", "score"])
 
     return counts.groupBy("slot").applyInPandas(own, "slot string, piece string, score double")
