@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scripts, text
-from ..operators import codec, corpus, segment, slots, training
+from ..operators import codec, compare, corpus, segment, slots, training
 from ..operators.prefix import with_before, with_number
 from ..session import materialize, ship, table
 from ..sources import sinks
@@ -471,7 +471,7 @@ def gates(spark, sf):
 
 @query
 def compare_per_script(spark, sf):
-    """Tokens of two codecs on the pure documents of each slot: bytes against characters."""
+    """Bytes against characters on the pure documents of each slot; no tokenizer is run, see compare_with_baseline."""
     pure = _dominant(spark, sf).where("slot <> 'NEUTRAL' and purity >= 90").join(given(spark, sf), "doc_id")
     sums = pure.groupBy("slot").agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("part_tokens"), F.sum(F.octet_length("text")).alias("base_tokens"))
     return sums.withColumn("improvement_pct", 100.0 * (F.col("base_tokens") - F.col("part_tokens")) / F.col("base_tokens")).withColumn("wins", F.col("part_tokens") < F.col("base_tokens"))
@@ -479,7 +479,7 @@ def compare_per_script(spark, sf):
 
 @query
 def memorization_gap(spark, sf):
-    """By kind: bytes per character in the train split less that in the test split."""
+    """By kind: bytes per character in the train split less that in the test split; no tokenizer is run, see memorization_gap_tokens."""
     d = table(spark, sf, "corpus_docs").where("text is not null").withColumn("kind", F.regexp_replace("kind", "_held$", ""))
     side = [d.where(f"split = '{s}'").groupBy("kind").agg((F.sum(F.octet_length("text")) / F.sum(F.length("text"))).alias(s)) for s in ("train", "test")]
     return side[0].join(side[1], "kind").select("kind", "train", "test", (F.col("train") - F.col("test")).alias("gap"))
@@ -612,6 +612,35 @@ def sweep_report(spark, sf):
     return merges.join(F.broadcast(sizes), F.col("rank") < F.col("size")).groupBy("slot", "size").agg(F.count("*").alias("merges"), F.sum("n").alias("saved"), F.min("n").alias("last_gain"))
 
 
+@query
+def compare_with_baseline(spark, sf):
+    """The slot vocabulary against a shared one of the same size, trained on balanced pure documents, on the pure documents of each slot."""
+    vocab = table(spark, sf, "slot_vocab")
+    pure = materialize(compare.pure_documents(given(spark, sf).select("doc_id", "text")), "pure")
+    return compare.compared(pure, vocab, compare.train_shared(compare.balanced(pure), vocab.count()))
+
+
+@query
+def memorization_gap_tokens(spark, sf):
+    """By slot: the improvement over a shared vocabulary of the same size on its training documents less that on held-out ones."""
+    vocab = table(spark, sf, "slot_vocab")
+    d = table(spark, sf, "corpus_docs").where("text is not null and split is not null").dropDuplicates(["doc_id"])
+    pure = materialize(compare.pure_documents(d.select("doc_id", "text", (F.col("split") != "train").alias("held"))), "pure")
+    return compare.gap(pure, vocab, compare.train_shared(compare.balanced(pure.where("not held")), vocab.count()))
+
+
+@query
+def marginal_gain_by_size(spark, sf):
+    """Tokens per character of each slot at growing vocabulary sizes, and what each size saves over the one before."""
+    return compare.gain_by_size(given(spark, sf).select("doc_id", "text"), (2000, 4000, 8000))
+
+
+@query
+def vocab_utilization_encoded(spark, sf):
+    """The share of each slot's ids that the encoded documents use."""
+    return compare.utilization(given(spark, sf), table(spark, sf, "slot_vocab"))
+
+
 @query
 def shard_write(spark, sf):
     import uuid
