@@ -327,18 +327,47 @@ class Reader:
         return got
 
 
+# General punctuation that code pages have where others have letters; the apostrophe U+2019 is usual between letters
+QUOTES = [*range(0x2010, 0x2019), *range(0x201A, 0x2020), *range(0x2024, 0x2028)]
+LOW = [0x201A, 0x201E]  # no text has them behind a letter
+
+
+@lru_cache(1)
+def _between() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(general punctuation, low quotes, letters) by code point."""
+    quote, low, letter = (np.zeros(0x110000, bool) for _ in range(3))
+    quote[QUOTES], low[LOW] = True, True
+    for cp in range(0x41, 0xD800):
+        letter[cp] = unicodedata.category(chr(cp))[0] == "L"
+    return quote, low, letter
+
+
+def worth_a_look(points: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The marked characters, and quotes, dashes and ellipses with a letter on both sides or low quotes behind one."""
+    hit = _lookups()[2][points]
+    quote, low, letter = _between()
+    at = np.flatnonzero(quote[points])
+    if len(at):
+        row = row_index(off)
+        before, after = np.maximum(at - 1, 0), np.minimum(at + 1, len(points) - 1)
+        left = letter[points[before]] & (before < at) & (row[before] == row[at])
+        right = letter[points[after]] & (after > at) & (row[after] == row[at])
+        hit[at[left & (right | low[points[at]])]] = True
+    return hit
+
+
 def suspicious_rows(column: pa.Array) -> np.ndarray:
-    look = _lookups()[2]
     points, off = codepoints_of(column)
-    return np.flatnonzero(np.bincount(row_index(off)[look[points]], minlength=len(off) - 1))
+    return np.flatnonzero(np.bincount(row_index(off)[worth_a_look(points, off)], minlength=len(off) - 1))
 
 
 def runs(text: str) -> Iterator[tuple[int, int, str, str, str]]:
     """(start, end, character before, run, character behind) of the runs worth a look."""
-    look = _lookups()[2]
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    look = worth_a_look(points, np.array([0, len(points)]))
     for m in RUN.finditer(text):
         run = m.group()
-        if any(look[ord(c)] for c in run):
+        if look[m.start() : m.end()].any():
             yield m.start(), m.end(), text[m.start() - 1] if m.start() else "\n", run, text[m.end()] if m.end() < len(text) else "\n"
 
 
