@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scripts, text
-from ..operators import codec, compare, corpus, segment, slots, training
+from ..operators import build, codec, compare, corpus, segment, slots, training
 from ..operators.prefix import with_before, with_number
 from ..session import materialize, ship, table
 from ..sources import sinks
@@ -593,8 +593,25 @@ def bpe_train(spark, sf):
 
 @query
 def unigram_train(spark, sf):
-    words = segment.runs(docs(spark, sf)).where("slot in ('DEVANAGARI', 'KANNADA')").select("slot", F.explode(F.regexp_extract_all("text", F.lit("\\s*\\S+"), F.lit(0))).alias("text"))
-    return training.train_unigram(training.run_counts(words), 600, 6, 2)
+    """Every slot whose specification says unigram, up to its budget and piece length."""
+    specs = slots.specs_from_rows(r.asDict() for r in table(spark, sf, "slot_specs").collect())  # a few rows
+    runs = segment.runs(docs(spark, sf))
+    sizes = runs.groupBy("slot").agg(F.sum(F.octet_length("text")).alias("bytes")).limit(slots.LIMIT).collect()
+    budget = slots.allocate({r["slot"]: r["bytes"] for r in sizes}, 8000, specs)
+    return build.slot_pieces(runs, budget, [s for s in specs if s.algorithm == "unigram"]).select("slot", F.col("token").alias("piece"), "score")
+
+
+@query
+def unigram_seed_pieces_all(spark, sf):
+    """The seeds of every unigram slot up to its piece length, over the words that the trainer sees; without SQL."""
+    specs = table(spark, sf, "slot_specs").where("algorithm = 'unigram'").select("name", F.coalesce("max_piece_length", F.lit(48)).alias("longest")).collect()  # a few rows
+    words = segment.runs(docs(spark, sf)).select("slot", F.explode(F.regexp_extract_all("text", F.lit(build.WORDS), F.lit(0))).alias("text"))
+    counts = materialize(training.run_counts(words.where(F.col("slot").isin([r["name"] for r in specs]))), "words")
+    found = None
+    for r in specs:
+        one = training.seed_pieces(counts.where(F.col("slot") == r["name"]), r["longest"])
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 @query
