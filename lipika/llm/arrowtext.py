@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def offsets_of(column: pa.Array) -> np.ndarray:
@@ -52,7 +53,7 @@ def to_arrow(points: np.ndarray, offsets: np.ndarray, like: pa.Array) -> pa.Arra
     np.cumsum(width, out=ends[1:])
     out = pa.LargeStringArray.from_buffers(len(like), pa.py_buffer(ends[offsets]), pa.py_buffer(data))
     if like.null_count:
-        out = pa.compute.if_else(like.is_valid(), out, pa.scalar(None, pa.large_string()))
+        out = pc.if_else(like.is_valid(), out, pa.scalar(None, pa.large_string()))
     return out.cast(pa.string())
 
 

@@ -40,7 +40,8 @@ JOINING_BLOCKS = ((0x600, 0x900), (0x1800, 0x18B0), (0x10A0, 0x10A0))
 # Ligatures and digraphs drawn like their letters; hyphens drawn like the ASCII one.
 LIGATURE_BLOCKS = ((0xFB00, 0xFB07), (0x132, 0x134), (0x1C4, 0x1CD), (0x1F1, 0x1F4))
 HYPHENS = (0x2010, 0x2011)
-MICRO, MU = 0xB5, 0x3BC
+# Signs drawn like a Greek letter (micro, increment) and that letter.
+GREEK_SIGNS = {0xB5: 0x3BC, 0x2206: 0x394}
 ZWNJ, ZWJ = 0x200C, 0x200D
 LONG_CLUSTER = 64
 
@@ -77,8 +78,8 @@ class Tables:
                 expand[cp] = " "
             elif cp in HYPHENS:
                 expand[cp] = "-"
-            elif cp == MICRO:
-                expand[cp] = chr(MU)
+            elif cp in GREEK_SIGNS:
+                expand[cp] = chr(GREEK_SIGNS[cp])
             d = unicodedata.decomposition(ch)
             if d:
                 tag = d.split()[0]

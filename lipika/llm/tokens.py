@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ def _counted(batches: Iterator[pa.RecordBatch], path: str, text: str) -> Iterato
         at = batch.schema.get_field_index(text)
         column = batch.column(at)
         whole = pa.array(count(column.filter(column.is_valid()).to_pylist()), pa.int64())
-        counts = pa.compute.replace_with_mask(pa.array([0] * len(column), pa.int64()), column.is_valid(), whole)
+        counts = pc.replace_with_mask(pa.array([0] * len(column), pa.int64()), column.is_valid(), whole)
         rest = [k for k in range(batch.num_columns) if k != at]
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), counts], names=[*(batch.schema.names[k] for k in rest), "tokens"])
 

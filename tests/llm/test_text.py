@@ -11,7 +11,7 @@ from lipika.llm import canonical, lookalike, mojibake
 
 PAIRS = [
     ("Ｈｅｓｔ　９", "Hest 9"), ("ﬁne ﬀ ﬃ", "fine ff ffi"), ("a b c d", "a b c d"), ("half‐done", "half-done"), ("Yеstmօx", "Yestmox"), ("Нello", "Hello"),
-    ("z​e⁠r﻿o­", "zero"), ("é", "é"), ("क़", "क़"), ("ೊ", "ೊ"), ("ೀ", "ೀ"), ("µ", "μ"), ("а̃", "ã"), ("ё", "ë"), ("x\r\ny\rz", "x\ny\nz"), ("a‌b", "ab"), ("가", "가"),
+    ("z​e⁠r﻿o­", "zero"), ("é", "é"), ("क़", "क़"), ("ೊ", "ೊ"), ("ೀ", "ೀ"), ("µ", "μ"), ("∆t", "Δt"), ("$$ ∆(x)", "$$ Δ(x)"), ("а̃", "ã"), ("ё", "ë"), ("x\r\ny\rz", "x\ny\nz"), ("a‌b", "ab"), ("가", "가"),
 ]
 KEPT = ["70⁵80", "½ ² ª º", "café", "Cafe", "क्‍ष", "क्‌ष", "👩‍🔧", "☂️", "тест", "ψολσταβα", "१२३", "a\nb", "a  b", "a–b—c−d"]
 
