@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,28 +29,55 @@ def build_session(app: str = "lipika", master: str | None = None, cores: int | N
     )
 
 
+def is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where that is unset (tests, local runs)."""
+    """The folder all executors share: spark.checkpoint.dir, or an own one of a local session where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lipika-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop path, its file system) for the driver's own file work."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new folder name below the shared folder; what is written there goes when the driver's file system closes."""
+    path = f"{shared_dir(spark)}/lipika/{label}-{uuid.uuid4().hex}"
+    hadoop_path, system = file_system(spark, path)
+    system.deleteOnExit(hadoop_path)
+    return path
+
+
+@contextmanager
+def shuffle_partitions(spark: SparkSession, rows: int, row_bytes: int, task_bytes: int = 64 << 20) -> Iterator[None]:
+    """Within it, shuffles have as many partitions as ``rows`` of ``row_bytes`` need, never fewer than the session's."""
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(max(int(own), math.ceil(rows * row_bytes / task_bytes))))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", own)
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 
     Cuts the lineage in a way that survives lost executors, keeps column pruning for later readers and
     is removed when the driver's file system closes.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lipika/{label}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,15 +90,17 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_lipika_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    base = shared_dir(spark).removeprefix("file://")
-    folder = os.path.join(base, "lipika") if base.startswith("/") and os.path.isdir(os.path.dirname(base) or "/") else tempfile.mkdtemp(prefix="lipika-zip-")
-    os.makedirs(folder, exist_ok=True)
-    target = os.path.join(folder, f"lipika-{uuid.uuid4().hex}.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
-        for folder, _, files in os.walk(root):
-            for name in files:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    archive.write(path, os.path.join("lipika", os.path.relpath(path, root)))
-    context.addPyFile(target)
+    with tempfile.TemporaryDirectory(prefix="lipika-zip-") as folder:  # the driver's own disk: from there it is copied
+        target = os.path.join(folder, f"lipika-{uuid.uuid4().hex}.zip")
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+            for inner, _, files in os.walk(root):
+                for name in files:
+                    if name.endswith(".py"):
+                        path = os.path.join(inner, name)
+                        archive.write(path, os.path.join("lipika", os.path.relpath(path, root)))
+        shared = f"{shared_dir(spark)}/lipika/{os.path.basename(target)}"
+        hadoop_path, system = file_system(spark, shared)
+        system.copyFromLocalFile(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{target}"), hadoop_path)
+        system.deleteOnExit(hadoop_path)
+    context.addPyFile(shared)
     context._lipika_shipped = True
