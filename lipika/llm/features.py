@@ -18,7 +18,8 @@ from .arrowtext import codepoints_of, mix64, row_index
 from .canonical import canonical_points
 
 BASE = 0x9E3779B97F4A7C15  # odd, so that its powers can be divided out again
-SCHEMA = "doc_id string, split string, text_id long, class_id long, words int, sketch_a long, sketch_b long, features binary, counts binary"
+CHECK = 0xD1B54A32D192ED03
+SCHEMA = "doc_id string, split string, text_id long, class_id long, check long, words int, sketch_a long, sketch_b long, features binary, counts binary"
 LOOK_SCHEMA = "doc_id string, look binary, raw binary"
 
 
@@ -77,12 +78,15 @@ def digests(points: np.ndarray, off: np.ndarray) -> pa.Array:
     return binary_rows(np.stack([a, b], 1), np.full(len(off) - 1, 2), 8)
 
 
-def bag_ids(word: np.ndarray, times: np.ndarray, per_row: np.ndarray) -> np.ndarray:
-    """64 bits for each row's multiset of words, whatever their order: the class of a record."""
-    each = mix64(word + np.uint64(BASE) * times.astype(np.uint64))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each)])
+def bag_ids(word: np.ndarray, times: np.ndarray, per_row: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit sums for each row's multiset of words, whatever their order: the class of a record and its check."""
     ends = np.concatenate([[0], np.cumsum(per_row)])
-    return mix64(total[ends[1:]] - total[ends[:-1]]).view(np.int64)
+    out = []
+    for base in (BASE, CHECK):
+        each = mix64(word + np.uint64(base) * times.astype(np.uint64))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each)])
+        out.append(mix64(total[ends[1:]] - total[ends[:-1]]).view(np.int64))
+    return out
 
 
 def occurrences(word: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -125,14 +129,14 @@ def _features(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
         size = np.bincount(row, times, rows).astype(np.int64)
         keep = size >= least
         mine, distinct = keep[row], np.bincount(row, minlength=rows)
-        out = [batch.column(names.index("doc_id")), batch.column(names.index("split")), batch.column(names.index("text_id")), pa.array(bag_ids(word, times, distinct)), pa.array(size.astype(np.int32))]
+        out = [batch.column(names.index("doc_id")), batch.column(names.index("split")), batch.column(names.index("text_id")), *map(pa.array, bag_ids(word, times, distinct)), pa.array(size.astype(np.int32))]
         out = [x.filter(pa.array(keep)) for x in out]
         # features are kept by their upper 32 bits, which are sorted as the whole hashes are
-        words32, times16 = (word[mine] >> np.uint64(32)).astype("<u4"), np.minimum(times[mine], 65535).astype("<u2")
+        words32, times32 = (word[mine] >> np.uint64(32)).astype("<u4"), times[mine].astype("<u4")
         ends = np.concatenate([[0], np.cumsum(distinct[keep])])
-        out += [pa.array(x) for x in (sketches(words32, times16, ends) if len(words32) else [np.zeros(0, np.int64)] * 2)]
+        out += [pa.array(x) for x in (sketches(words32, times32, ends) if len(words32) else [np.zeros(0, np.int64)] * 2)]
         out.append(binary_rows(words32, distinct[keep], 4))
-        out.append(binary_rows(times16, distinct[keep], 2))
+        out.append(binary_rows(times32, distinct[keep], 4))
         yield pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
@@ -154,14 +158,13 @@ def _given(docs: DataFrame) -> DataFrame:
 
 
 def word_features(docs: DataFrame, least_words: int = 8) -> DataFrame:
-    """One row per record with at least ``least_words`` words: text_id (equal for equal stored texts), class_id (equal for equal
-    multisets of words), its
-    distinct words as sorted hashes packed into ``features``, how often each occurs in ``counts``, and two sketches.
-
-    ``docs`` needs doc_id and text, and split where splits matter; other columns are ignored. Rows without doc_id or text are left out,
-    as are empty and short texts. Repeated deliveries stay repeated rows. A word that occurs more than 65,535
-    times in one record counts that often. Word hashes have 32 bits: two records of n words share a false word
-    with probability n*n / 2**32.
+    """One row per record with at least ``least_words`` words: text_id (equal for equal stored texts), class_id and check (both
+    equal for equal multisets of words), its distinct words as sorted hashes packed into ``features``, how often each
+    occurs in ``counts``, and two sketches.
+
+    ``docs`` needs doc_id and text, and split where splits matter; other columns are ignored. Rows without doc_id or
+    text are left out, as are empty and short texts. Repeated deliveries stay repeated rows. Word hashes have 32 bits:
+    two records of n words share a false word with probability n*n / 2**32.
     """
     return _given(docs).withColumn("text_id", F.xxhash64("text")).mapInArrow(lambda it: _features(it, least_words), SCHEMA)
 

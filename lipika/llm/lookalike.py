@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -15,8 +15,8 @@ def look_alike_classes(docs: DataFrame, least_words: int = 8) -> DataFrame:
     form (look) and of its text (raw), the copies of that text, and their representative in look_alike_pairs."""
     looks = materialize(text_looks(docs, least_words).distinct(), "looks")
     several = looks.groupBy("look").agg(F.min("raw").alias("least"), F.max("raw").alias("most")).where("least <> most").select("look")
-    own = Window.partitionBy("look", "raw")
-    members = looks.join(several, "look").withColumn("copies", F.count("*").over(own)).withColumn("representative", F.min("doc_id").over(own))
+    copies = looks.groupBy("look", "raw").agg(F.count("*").alias("copies"), F.min("doc_id").alias("representative"))
+    members = looks.join(several, "look").join(copies, ["look", "raw"])
     splits = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("split").cast("string").alias("split")).distinct()
     return members.join(splits, "doc_id").select("doc_id", "split", F.hex("look").alias("look"), F.hex("raw").alias("raw"), "copies", "representative")
 
@@ -24,12 +24,12 @@ def look_alike_classes(docs: DataFrame, least_words: int = 8) -> DataFrame:
 def look_alike_pairs(docs: DataFrame, least_words: int = 8, expand: int = EXPAND) -> DataFrame:
     """(doc_id_a, doc_id_b), smaller id first: records that look the same but are not the same characters.
 
-    Only digests are shuffled. Of more than ``expand`` records with the very same characters the one with the least
+    Only digests are shuffled; a look that many records have is one key of joins that adaptive execution splits. Of more than ``expand`` records with the very same characters the one with the least
     doc_id stands for all in these pairs. Null ids or texts and texts below ``least_words`` words are in no pair.
     """
     looks = materialize(text_looks(docs, least_words).distinct(), "looks")
     sizes = looks.groupBy("look", "raw").agg(F.count("*").alias("size"), F.min("doc_id").alias("first"))
-    several = sizes.withColumn("forms", F.count("*").over(Window.partitionBy("look"))).where("forms > 1").select("look", "raw", "size", "first")
-    shown = looks.join(several, ["look", "raw"]).where((F.col("size") <= expand) | (F.col("doc_id") == F.col("first"))).select("look", "raw", "doc_id")
+    several = sizes.groupBy("look").agg(F.count("*").alias("forms")).where("forms > 1").select("look")
+    shown = looks.join(several, "look").join(sizes, ["look", "raw"]).where((F.col("size") <= expand) | (F.col("doc_id") == F.col("first"))).select("look", "raw", "doc_id")
     met = shown.alias("x").join(shown.alias("y"), F.expr("x.look = y.look and x.raw <> y.raw and x.doc_id < y.doc_id"))
     return met.select(F.col("x.doc_id").alias("doc_id_a"), F.col("y.doc_id").alias("doc_id_b")).distinct()

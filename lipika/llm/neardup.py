@@ -3,7 +3,8 @@
 One MinHash function is a random linear map of the word features of which the least value is kept. Rows and
 bands follow from the similarity and the recall that are asked for. Only one record of each class of equal
 word multisets is banded; band hashes are the only thing shuffled per band, and every candidate pair is
-verified on the full multisets of words.
+verified on the full multisets of words. A band that many classes share is one key of a sort-merge join whose
+exchanges stand right below it, so that adaptive execution splits it.
 """
 
 from __future__ import annotations
@@ -13,19 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, shuffle_partitions
 from .arrowtext import mix64
 from .features import linear_maps, occurrences, unpack, word_features
-from .similarity import EXPAND, listed, memberships, ordered, same_class_pairs, verified
+from .similarity import CLASS, EXPAND, PAIR, listed, memberships, new_in_task, ordered, same_class_pairs, sided, thinned, verified
 
 SIMILARITY = 0.7  # TESTDATA.md: at least 0.7 of the words in common
 ROWS = 7
 RECALL = 0.98  # of pairs exactly at that similarity; 0.998 at 0.75 and 0.99998 at 0.8 with 46 bands of 7 rows
 SKETCH_BITS = 128
-SKETCH_SIGMAS = 4  # a pair at the similarity passes the sketch unless its bits are that far below their mean
+SKETCH_SIGMAS = 6  # a pair at the similarity passes the sketch unless its bits are that far below their mean
 
 
 def bands_for(similarity: float, recall: float, rows: int) -> int:
@@ -53,14 +54,11 @@ def band_hashes(features: np.ndarray, counts: np.ndarray, off: np.ndarray, bands
 
 
 def _bands(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in new_in_task(batches):
         names = batch.schema.names
         ids = batch.column(names.index("class_id")).to_numpy(zero_copy_only=False)
-        once = pa.array(np.unique(ids, return_index=True)[1])  # copies in a batch are banded once
-        batch = batch.take(once)
-        ids = batch.column(names.index("class_id")).to_numpy(zero_copy_only=False)
         features, off = unpack(batch.column(names.index("features")), "<u4")
-        counts, _ = unpack(batch.column(names.index("counts")), "<u2")
+        counts, _ = unpack(batch.column(names.index("counts")), "<u4")
         if len(features):
             keys = band_hashes(features, counts, off, bands, rows)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, bands))], names=["band", "class_id"])
@@ -73,11 +71,11 @@ def candidates(features: DataFrame, similarity: float = SIMILARITY, recall: floa
     bands is folded after the sketches have thinned the pairs out.
     """
     bands = bands_for(similarity, recall, rows)
-    keyed = features.select("class_id", "features", "counts").mapInArrow(lambda it: _bands(it, bands, rows), "band long, class_id long")
-    keyed = keyed.repartition("band").distinct()
-    met = keyed.alias("x").join(keyed.alias("y"), F.expr("x.band = y.band and x.class_id < y.class_id")).select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b"))
-    short = features.groupBy("class_id").agg(*(F.max(c).alias(c) for c in ("words", "sketch_a", "sketch_b")))
-    one, two = (short.select(F.col("class_id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("words", "sketch_a", "sketch_b"))) for k in "ab")
+    given = thinned(features).select(*CLASS, "features", "counts")
+    keyed = given.mapInArrow(lambda it: _bands(it, bands, rows), "band long, class_id long")
+    met = keyed.alias("x").join(keyed.alias("y").hint("merge"), F.expr("x.band = y.band and x.class_id < y.class_id")).select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b"))
+    short = features.groupBy(*CLASS).agg(*(F.max(c).alias(c) for c in ("words", "sketch_a", "sketch_b")))
+    one, two = (sided(short, k, "words", "sketch_a", "sketch_b") for k in "ab")
     both = met.join(one, "a").join(two, "b")
     apart = "bit_count(sketch_a_a ^ sketch_a_b) + bit_count(sketch_b_a ^ sketch_b_b)"
     sizes = f"words_a >= {similarity} * words_b and words_b >= {similarity} * words_a"
@@ -85,8 +83,9 @@ def candidates(features: DataFrame, similarity: float = SIMILARITY, recall: floa
 
 
 def similar_classes(features: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
-    """(a, b, similarity) of different classes at least this similar. ``features`` must be written out."""
-    pairs = materialize(candidates(features, similarity, recall, rows), "neardup-candidates")
+    """(a, check_a, b, check_b, similarity) of different classes at least this similar. ``features`` must be written out."""
+    with shuffle_partitions(features.sparkSession, features.count() * bands_for(similarity, recall, rows), 16):
+        pairs = materialize(candidates(features, similarity, recall, rows), "neardup-candidates")
     return verified(pairs, features, similarity).drop("cosine")
 
 
@@ -95,48 +94,60 @@ def near_duplicate_pairs(docs: DataFrame, similarity: float = SIMILARITY, recall
 
     Equal records are pairs too. More than ``expand`` exact copies of one stored text appear as pairs with their
     representative (the least doc_id), which also stands for them in pairs with other texts; near_duplicate_classes
-    has every copy. Different texts are all written out, also those with equal multisets of words. Null ids or texts, empty texts and texts below ``least_words`` words are in no pair; extra
-    columns are ignored; an empty table gives no rows.
+    has every copy. Different texts are all written out, also those with equal multisets of words.
+    Null ids or texts, empty texts and texts below ``least_words`` words are in no pair; extra columns are ignored; an
+    empty table gives no rows.
     """
     features = materialize(word_features(docs, least_words), "neardup-features")
     pairs = similar_classes(features, similarity, recall)
-    members = materialize(memberships(features, "class_id", "text_id"), "neardup-members")
-    shown = listed(members, expand).select("class_id", "doc_id")
-    across = pairs.join(shown.select(F.col("class_id").alias("a"), F.col("doc_id").alias("x")), "a").join(shown.select(F.col("class_id").alias("b"), F.col("doc_id").alias("y")), "b")
-    across = across.where("x <> y").select(*ordered("x", "y"))
+    members = materialize(memberships(features, *CLASS, "text_id"), "neardup-members")
+    shown = listed(members, expand)
+    one, two = (sided(shown, k, "doc_id") for k in "ab")
+    across = pairs.join(one, ["a", "check_a"]).join(two, ["b", "check_b"])
+    across = across.where("doc_id_a <> doc_id_b").select(*ordered("doc_id_a", "doc_id_b"))
     return across.unionByName(same_class_pairs(members, expand)).distinct()
 
 
+def _digest(edges: DataFrame) -> tuple:
+    """Number and order-free checksums of written edges."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first())
+
+
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node each node of the edges is connected with, by alternating star rounds.
 
     Large-star joins every greater neighbour to the least one, small-star every smaller one; both keep the
-    components and together they end in stars after a few rounds. Each round is written out.
+    components and together they end in stars after a few rounds. Each round is written out; the last is the one
+    that changes nothing.
     """
     now = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "stars")
+    last = _digest(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        new = materialize(small.where("u <> v").distinct(), "stars")
-        # stars are reached when no node is both a centre and a leaf and the edges stay the same
-        if not new.exceptAll(now).take(1) and not now.exceptAll(new).take(1):
-            leaves = new.select(F.col("u").alias("node"), F.col("v").alias("component"))
-            return leaves.unionByName(new.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        now = new
+        now = materialize(small.where("u <> v").distinct(), "stars")
+        this = _digest(now)
+        if this == last:
+            leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return leaves.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        last = this
 
 
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, least_words: int = 8) -> DataFrame:
     """One row per record with enough words: its class of equal records, the class's size, the least doc_id with the very
-    same text, the number of similar other
-    classes (links), and the group of all classes connected by links. Same rules as near_duplicate_pairs."""
+    same text, the number of similar other classes (links), and the group of all classes connected by links. Same rules
+    as near_duplicate_pairs. Classes and groups are named by 32 hexadecimal digits."""
     features = materialize(word_features(docs, least_words), "neardup-features")
-    pairs = materialize(similar_classes(features, similarity, recall).select("a", "b"), "neardup-pairs")
+    name = [F.concat(F.lpad(F.hex(i), 16, "0"), F.lpad(F.hex(c), 16, "0")).alias(k) for i, c, k in (("a", "check_a", "a"), ("b", "check_b", "b"), ("class_id", "check", "class_id"))]
+    pairs = materialize(similar_classes(features, similarity, recall).select(*PAIR).select(*name[:2]), "neardup-pairs")
     ends = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id")))
     links = ends.groupBy("class_id").agg(F.count("*").alias("links"))
     groups = connected(pairs).select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
-    copies = memberships(features, "class_id", "text_id").groupBy("class_id", "doc_id").agg(F.min("representative").alias("representative"))
-    members = copies.withColumn("class_size", F.count("*").over(Window.partitionBy("class_id"))).select("doc_id", "class_id", "class_size", "representative")
-    return members.join(links, "class_id", "left").join(groups, "class_id", "left").select("doc_id", "class_id", "class_size", "representative", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("group_id", "class_id").alias("group_id"))
+    copies = memberships(features, *CLASS, "text_id").groupBy(*CLASS, "doc_id").agg(F.min("representative").alias("representative"))
+    members = copies.select(name[2], "doc_id", "representative")
+    sizes = features.select(*CLASS, "doc_id").distinct().groupBy(*CLASS).agg(F.count("*").alias("class_size")).select(name[2], "class_size")
+    about = sizes.join(links, "class_id", "left").join(groups, "class_id", "left")
+    return members.join(about, "class_id").select("doc_id", "class_id", "class_size", "representative", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("group_id", "class_id").alias("group_id"))

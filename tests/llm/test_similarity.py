@@ -48,7 +48,7 @@ def brute(rows, least=0.7):
     return out
 
 
-DIRT = [("x1", None, "train"), ("x2", "", "test"), ("x3", "too short", "train"), (None, "a b c d e f g h i j", "train"), ("x4", "a b c d e f g h i j", None), ("x5", "a b c d е f g h i j", "test"), ("x5", "a b c d е f g h i j", "test"), ("x6", "w " * 70_000, "train"), ("x7", "w " * 70_001, "valid")]
+DIRT = [("x1", None, "train"), ("x2", "", "test"), ("x3", "too short", "train"), (None, "a b c d e f g h i j", "train"), ("x4", "a b c d e f g h i j", None), ("x5", "a b c d е f g h i j", "test"), ("x5", "a b c d е f g h i j", "test"), ("x6", "w " * 70_000, "train"), ("x7", "w " * 70_001, "valid"), ("x8", "v " * 140_000, "train"), ("x9", "v " * 140_001, "test")]
 
 
 @pytest.fixture(scope="module")
@@ -63,7 +63,7 @@ def test_near_duplicates(docs):
     got = {tuple(r) for r in neardup.near_duplicate_pairs(frame).collect()}
     assert got <= want
     assert len(got) >= 0.97 * len(want)  # the target recall holds at the similarity itself and is higher above it
-    assert ("x4", "x5") in got and ("x6", "x7") in got
+    assert ("x4", "x5") in got and ("x6", "x7") in got and ("x8", "x9") in got
 
 
 def test_classes_and_groups(docs):
@@ -118,7 +118,7 @@ def test_counting_is_exact():
     row, word, times = features.bags(points, off)
     per = np.bincount(row, minlength=len(texts))
     f = features.binary_rows((word >> np.uint64(32)).astype("<u4"), per, 4)
-    c = features.binary_rows(times.astype("<u2"), per, 2)
+    c = features.binary_rows(times.astype("<u4"), per, 4)
     other = pa.array(list(range(1, 200)) + [0])
     got = similarity.overlaps(f, c, f.take(other), c.take(other))
     assert got.tolist() == [sum((Counter(a.split()) & Counter(b.split())).values()) for a, b in zip(texts, texts[1:] + texts[:1])]
@@ -152,3 +152,35 @@ def test_different_texts_of_a_large_class_are_all_paired(spark):
     assert {r["representative"] for r in members if r["copies"] == 300} == {"c0000"}
     alike = {(r["doc_id"], r["split"]) for r in lookalike.look_alike_classes(frame).collect()}
     assert alike == {(r[0], r[2]) for r in rows[:303]}
+
+
+def test_hot_template_of_near_equal_records(spark):
+    """A third of the records are one template with another word in each: all links are found, also in small tasks."""
+    template = "the judge of the old mill kept seven letters beside the blue door when the ledger was lost again".split()
+    rows = [(f"h{k:03d}", " ".join([*template, f"w{k}"]), "train" if k % 2 else "test") for k in range(150)]
+    rows += [(f"o{k:03d}", " ".join(f"v{k}x{j}" for j in range(12)), "train") for k in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id string, text string, split string").repartition(7)
+    got = {tuple(r) for r in neardup.near_duplicate_pairs(frame).collect()}
+    hot = [r[0] for r in rows[:150]]
+    assert got == set(combinations(hot, 2))
+    assert {tuple(r) for r in crosssplit.as_pairs(crosssplit.cross_split_pairs(frame)).collect()} == {p for p in combinations(hot, 2) if (int(p[0][1:]) + int(p[1][1:])) % 2}
+    near = neardup.near_duplicate_classes(frame).where("doc_id like 'h%'").collect()
+    assert {r["links"] for r in near} == {149} and len({r["group_id"] for r in near}) == 1
+
+
+def test_classes_that_share_an_id_are_told_apart(spark):
+    """The check keeps unequal multisets apart whose first hashes are the same."""
+    rows = [("a", "one two three four five six seven eight"), ("b", "one two three four five six seven eight"), ("c", "nine ten eleven twelve thirteen fourteen fifteen sixteen")]
+    made = features.word_features(spark.createDataFrame(rows, "doc_id string, text string")).selectExpr("doc_id", "text_id", "1L as class_id", "check", "words", "features", "counts")
+    members = similarity.memberships(made, *similarity.CLASS, "text_id")
+    assert {tuple(r) for r in similarity.same_class_pairs(members).collect()} == {("a", "b")}
+
+
+def test_copies_are_thinned_without_loss(spark, monkeypatch):
+    rows = [(f"c{k:03d}", "one two three four five six seven eight nine ten", "train") for k in range(50)] + [("z", "one two three four five six seven eight nine end", "test")]
+    frame = spark.createDataFrame(rows, "doc_id string, text string, split string").repartition(5)
+    whole = {tuple(r) for r in neardup.near_duplicate_pairs(frame).collect()}
+    monkeypatch.setattr(similarity, "COPIES", 3)
+    assert similarity.thinned(features.word_features(frame)).count() == 2
+    assert {tuple(r) for r in neardup.near_duplicate_pairs(frame).collect()} == whole and len(whole) == 51 * 50 // 2
+    assert crosssplit.cross_split_pairs(frame).count() == 50
