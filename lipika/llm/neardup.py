@@ -74,7 +74,7 @@ def candidates(features: DataFrame, similarity: float = SIMILARITY, recall: floa
     given = thinned(features).select(*CLASS, "features", "counts")
     keyed = given.mapInArrow(lambda it: _bands(it, bands, rows), "band long, class_id long")
     met = keyed.alias("x").join(keyed.alias("y").hint("merge"), F.expr("x.band = y.band and x.class_id < y.class_id")).select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b"))
-    short = features.groupBy(*CLASS).agg(*(F.max(c).alias(c) for c in ("words", "sketch_a", "sketch_b")))
+    short = features.select(*CLASS, "words", "sketch_a", "sketch_b").repartition("class_id").groupBy(*CLASS).agg(*(F.max(c).alias(c) for c in ("words", "sketch_a", "sketch_b")))
     one, two = (sided(short, k, "words", "sketch_a", "sketch_b") for k in "ab")
     both = met.join(one, "a").join(two, "b")
     apart = "bit_count(sketch_a_a ^ sketch_a_b) + bit_count(sketch_b_a ^ sketch_b_b)"

@@ -100,13 +100,13 @@ def verified(pairs: DataFrame, features: DataFrame, least: float, cosine: float
     words (and reach the cosine), exactly counted. Classes that share an id are told apart by their check.
 
     ``pairs`` must be written out (it is counted). Few pairs: their ids are broadcast, so that only the words
-    of candidates are shuffled. Many: a plain join does.
+    of candidates are shuffled. Many: a plain join does. Words are shuffled once, by class id.
     """
-    rows = features.select(*CLASS, "words", "features", "counts")
+    rows = thinned(features).select(*CLASS, "words", "features", "counts")
     if pairs.limit(SMALL + 1).count() <= SMALL:
         ids = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id"))).distinct()
         rows = rows.join(F.broadcast(ids), "class_id", "left_semi")
-    rows = rows.dropDuplicates(list(CLASS))
+    rows = rows.repartition("class_id").dropDuplicates(list(CLASS))
     one, two = (sided(rows, k, "words", "features", "counts") for k in "ab")
     both = pairs.select("a", "b").join(one, "a").join(two, "b")
     return both.mapInArrow(lambda it: _verify(it, least, cosine), "a long, check_a long, b long, check_b long, similarity double, cosine double")
