@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from ..session import materialize, shuffle_partitions
 from .arrowtext import mix64
 from .features import linear_maps, occurrences, unpack, word_features
-from .similarity import CLASS, EXPAND, PAIR, listed, memberships, new_in_task, ordered, same_class_pairs, sided, thinned, verified
+from .similarity import CLASS, EXPAND, PAIR, heavy_classes, listed, memberships, new_in_task, ordered, same_class_pairs, sided, thinned, verified
 
 SIMILARITY = 0.7  # TESTDATA.md: at least 0.7 of the words in common
 ROWS = 7
 RECALL = 0.98  # of pairs exactly at that similarity; 0.998 at 0.75 and 0.99998 at 0.8 with 46 bands of 7 rows
 SKETCH_BITS = 128
-SKETCH_SIGMAS = 6  # a pair at the similarity passes the sketch unless its bits are that far below their mean
+SKETCH_SIGMAS = 4  # a pair at the similarity passes the sketch unless its bits are that far below their mean
 
 
 def bands_for(similarity: float, recall: float, rows: int) -> int:
@@ -34,9 +34,9 @@ def bands_for(similarity: float, recall: float, rows: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
-def agreeing_bits(similarity: float) -> int:
+def agreeing_bits(similarity: float, sigmas: float = SKETCH_SIGMAS) -> int:
     p = (1 + similarity) / 2
-    return math.floor(SKETCH_BITS * p - SKETCH_SIGMAS * math.sqrt(SKETCH_BITS * p * (1 - p)))
+    return math.floor(SKETCH_BITS * p - sigmas * math.sqrt(SKETCH_BITS * p * (1 - p)))
 
 
 def band_hashes(features: np.ndarray, counts: np.ndarray, off: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -64,19 +64,19 @@ def _bands(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, bands))], names=["band", "class_id"])
 
 
-def candidates(features: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
+def candidates(features: DataFrame, heavy: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
     """Distinct pairs (a < b) of classes that share a band, whose sizes allow the similarity and whose sketches agree.
 
     Shuffled are (band hash, class id) and, for pairs that met, ids and sketches. What a pair meets in several
     bands is folded after the sketches have thinned the pairs out.
     """
     bands = bands_for(similarity, recall, rows)
-    given = thinned(features).select(*CLASS, "features", "counts")
+    given = thinned(features, heavy).select(*CLASS, "features", "counts")
     keyed = given.mapInArrow(lambda it: _bands(it, bands, rows), "band long, class_id long")
     met = keyed.alias("x").join(keyed.alias("y").hint("merge"), F.expr("x.band = y.band and x.class_id < y.class_id")).select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b"))
     short = features.select(*CLASS, "words", "sketch_a", "sketch_b").repartition("class_id").groupBy(*CLASS).agg(*(F.max(c).alias(c) for c in ("words", "sketch_a", "sketch_b")))
     one, two = (sided(short, k, "words", "sketch_a", "sketch_b") for k in "ab")
-    both = met.join(one, "a").join(two, "b")
+    both = met.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
     apart = "bit_count(sketch_a_a ^ sketch_a_b) + bit_count(sketch_b_a ^ sketch_b_b)"
     sizes = f"words_a >= {similarity} * words_b and words_b >= {similarity} * words_a"
     return both.where(f"{apart} <= {SKETCH_BITS - agreeing_bits(similarity)} and {sizes}").select("a", "b").distinct()
@@ -84,9 +84,10 @@ def candidates(features: DataFrame, similarity: float = SIMILARITY, recall: floa
 
 def similar_classes(features: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
     """(a, check_a, b, check_b, similarity) of different classes at least this similar. ``features`` must be written out."""
+    heavy = heavy_classes(features)
     with shuffle_partitions(features.sparkSession, features.count() * bands_for(similarity, recall, rows), 16):
-        pairs = materialize(candidates(features, similarity, recall, rows), "neardup-candidates")
-    return verified(pairs, features, similarity).drop("cosine")
+        pairs = materialize(candidates(features, heavy, similarity, recall, rows), "neardup-candidates")
+    return verified(pairs, features, heavy, similarity).drop("cosine")
 
 
 def near_duplicate_pairs(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, least_words: int = 8, expand: int = EXPAND) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .features import unpack
 
 EXPAND = 256  # up to so many exact copies of one stored text are all written out in pairs, of more only the least doc_id
@@ -67,14 +68,18 @@ SMALL = 2_000_000  # pairs up to this number may have their class ids broadcast
 COPIES, HEAVY = 1000, 100_000  # classes with over COPIES records; so many of them, the largest, are thinned out (3 MB)
 
 
-def thinned(features: DataFrame) -> DataFrame:
-    """``features`` without most copies: of a class with over COPIES records only its least doc_id stays.
+def heavy_classes(features: DataFrame) -> DataFrame:
+    """(class_id, check, first): the largest classes of more than COPIES records with their least doc_id, written out."""
+    heavy = features.groupBy(*CLASS).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") > COPIES)
+    return materialize(heavy.orderBy(F.desc("n"), *CLASS).limit(HEAVY).drop("n"), "heavy")
+
+
+def thinned(features: DataFrame, heavy: DataFrame) -> DataFrame:
+    """``features`` without most copies: of a class in ``heavy`` only its least doc_id stays.
 
     Copies have the same words and so the same postings; leaving them in changes no result, it only repeats postings.
     So the bound HEAVY on the classes that are broadcast changes none either.
     """
-    heavy = features.groupBy(*CLASS).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") > COPIES)
-    heavy = heavy.orderBy(F.desc("n"), *CLASS).limit(HEAVY).drop("n")
     return features.join(F.broadcast(heavy), list(CLASS), "left").where("first is null or doc_id = first").drop("first")
 
 
@@ -95,20 +100,20 @@ def sided(rows: DataFrame, side: str, *columns: str) -> DataFrame:
     return rows.select(F.col("class_id").alias(side), F.col("check").alias(f"check_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in columns))
 
 
-def verified(pairs: DataFrame, features: DataFrame, least: float, cosine: float = 0.0) -> DataFrame:
+def verified(pairs: DataFrame, features: DataFrame, heavy: DataFrame, least: float, cosine: float = 0.0) -> DataFrame:
     """(a, check_a, b, check_b, similarity, cosine): pairs (a, b) of class ids whose records share at least ``least`` of their
     words (and reach the cosine), exactly counted. Classes that share an id are told apart by their check.
 
     ``pairs`` must be written out (it is counted). Few pairs: their ids are broadcast, so that only the words
     of candidates are shuffled. Many: a plain join does. Words are shuffled once, by class id.
     """
-    rows = thinned(features).select(*CLASS, "words", "features", "counts")
+    rows = thinned(features, heavy).select(*CLASS, "words", "features", "counts")
     if pairs.limit(SMALL + 1).count() <= SMALL:
         ids = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id"))).distinct()
         rows = rows.join(F.broadcast(ids), "class_id", "left_semi")
     rows = rows.repartition("class_id").dropDuplicates(list(CLASS))
     one, two = (sided(rows, k, "words", "features", "counts") for k in "ab")
-    both = pairs.select("a", "b").join(one, "a").join(two, "b")
+    both = pairs.select("a", "b").join(one.hint("merge"), "a").join(two.hint("merge"), "b")
     return both.mapInArrow(lambda it: _verify(it, least, cosine), "a long, check_a long, b long, check_b long, similarity double, cosine double")
 
 

@@ -181,6 +181,7 @@ def test_copies_are_thinned_without_loss(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id string, text string, split string").repartition(5)
     whole = {tuple(r) for r in neardup.near_duplicate_pairs(frame).collect()}
     monkeypatch.setattr(similarity, "COPIES", 3)
-    assert similarity.thinned(features.word_features(frame)).count() == 2
+    made = features.word_features(frame)
+    assert similarity.thinned(made, similarity.heavy_classes(made)).count() == 2
     assert {tuple(r) for r in neardup.near_duplicate_pairs(frame).collect()} == whole and len(whole) == 51 * 50 // 2
     assert crosssplit.cross_split_pairs(frame).count() == 50
