@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import few
 from .arrowtext import codepoints_of, row_index
 from .canonical import SCRIPTS
 
@@ -42,6 +43,7 @@ ALPHABET = ((0x00, 0x180), (0x2B0, 0x530), (0x900, 0x980), (0xC80, 0xD00), (0x20
 # Characters no text of these languages has (controls, box drawing, ideographs, private use, U+FFFD).
 STRANGE = ((0x80, 0xA0), (0x2500, 0x25A0), (0x3040, 0xD800), (0xE000, 0xFB00), (0xFE10, 0xFE70), (0xFFF0, 0x10000))
 DEPTH = 3
+ENTRIES = 10_000  # registered entries; more are an error
 LOST = "�"
 ROUNDS, STRENGTH, CLIP, KEPT = 30, 20.0, 40, 3
 SURE = 20.0  # nats by which UTF-8 bytes read as such must be likelier for other swaps not to be tried
@@ -463,7 +465,7 @@ def source_of(name: Column, entries: DataFrame | None) -> Column:
     form = F.replace(F.lower(F.trim(name)), F.lit("_"), F.lit("-"))
     if entries is None:
         return F.coalesce(form, F.lit("(none)"))
-    known = [r[0].strip().lower().replace("_", "-") for r in entries.select("name").where("name is not null").distinct().limit(10_000).collect()]
+    known = [r[0].strip().lower().replace("_", "-") for r in few(entries.select("name").where("name is not null").distinct(), ENTRIES, "registered entries")]
     return F.when(name.isNull(), "(none)").when(form.isin(known), form).otherwise("(other)")
 
 

@@ -13,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import few, materialize
 from .tokens import DEFAULT, with_tokens
 
 WINDOW = 20_000  # items that are packed together, about
+PACKS = 10_000  # kinds of containers; more are an error
 
 
 def best_fill(room: int, lengths: list[int], counts: dict[int, int]) -> dict[int, int]:
@@ -82,13 +83,15 @@ def placements(docs: DataFrame, capacities: DataFrame, path: str = DEFAULT, wind
     larger than a container, is.
 
     Container numbers are unique within a pack. Null and empty texts have no tokens and take no space, but a place.
-    Rows that repeat a doc_id are items of their own. Capacities that are null or below 1 are left out.
+    Rows that repeat a doc_id are items of their own. Capacities that are null or below 1 are left out; more than PACKS kinds of
+    containers are an error.
     """
     kind = dict(docs.dtypes)["doc_id"]
     sizes = materialize(with_tokens(docs.where("doc_id is not null").select("doc_id", "text"), path), "sizes")
     windows = max(1, round(sizes.count() / window))
     packs = capacities.where("capacity_tokens >= 1 and pack_name is not null").select("pack_name", F.col("capacity_tokens").cast("int").alias("capacity_tokens")).distinct()
-    each = sizes.crossJoin(F.broadcast(packs.limit(10_000)))  # a bounded table of container kinds, not of records
+    kinds = docs.sparkSession.createDataFrame(few(packs, PACKS, "kinds of containers"), packs.schema)
+    each = sizes.crossJoin(F.broadcast(kinds))  # a bounded table of container kinds, not of records
     whole = F.expr("cast(tokens div capacity_tokens as int)")
     each = each.withColumn("whole", F.when(F.col("tokens") > F.col("capacity_tokens"), whole).otherwise(0))
     large = each.where("whole > 0").select("pack_name", "capacity_tokens", "doc_id", F.explode(F.expr("sequence(0, whole - 1)")).alias("piece"), F.col("capacity_tokens").cast("long").alias("tokens"))

@@ -25,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import few, materialize
 
 LABELLED = 10_000
+AREAS = 100  # subject areas; more are an error (a pattern of six votes must fit 64 bits)
 SHARE = 0.2  # TESTDATA.md: at least a fifth of the sentences
 LEAST_DOCS = 3  # labelled documents a word must occur in
 LIFT = 2.0  # by how much the odds that a term's documents have its subject exceed the usual ones
@@ -183,7 +184,7 @@ def source_form(source) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> tuple[Lexicon, dict[str, int]]:
     """The lexicon, and the subject of each source that has one."""
-    subjects = [r[0] for r in areas.where("subject is not null").select("subject").distinct().orderBy("subject").limit(1000).collect()]
+    subjects = sorted(r[0] for r in few(areas.where("subject is not null").select("subject").distinct(), AREAS, "subject areas"))
     chosen = materialize(sample(labels_of(labels, subjects)), "labelled")  # LABELLED rows at most
     own = docs.where("text is not null").select("doc_id", source_form(F.col("source")).alias("source"), "text")
     rows = own.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").toArrow()

@@ -117,6 +117,28 @@ def test_places_are_prefix_sums(docs):
             assert r["until"] == total
 
 
+def test_a_total_is_met_or_all_there_is(spark, docs):
+    targets = spark.createDataFrame([("m", "big", 0.5, 1), ("m", "small", 0.5, 2)], "mix_name string, source string, target_share double, max_repeats int")
+    half = {r["source"]: r for r in mixing.mixed(docs, targets, total=4000)[1].collect()}
+    assert all(abs(r["budget"] - 2000) <= 1 or r["budget"] == r["available"] * r["max_repeats"] for r in half.values())
+    much = mixing.mixed(docs, targets, total=10**9)[1].collect()
+    assert all(r["tokens"] == r["budget"] == r["available"] * r["max_repeats"] and r["most_repeats"] == r["max_repeats"] for r in much)
+
+
+def test_ranges_of_the_key_are_its_order(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLICE", 10)
+    frame = spark.createDataFrame([(k, "one two three " * (k % 5 + 1), "s") for k in range(300)], "doc_id long, text string, source string")
+    placed = mixing.places(frame).selectExpr("doc_id", "until", f"xxhash64(doc_id, {mixing.SEED}) as key").collect()
+    assert [r["doc_id"] for r in sorted(placed, key=lambda r: r["until"])] == [r["doc_id"] for r in sorted(placed, key=lambda r: r["key"] % (1 << 64))]
+
+
+def test_too_many_kinds_are_an_error(spark, docs, monkeypatch):
+    monkeypatch.setattr(packing, "PACKS", 2)
+    packs = spark.createDataFrame([(f"p{k}", 100 + k) for k in range(3)], "pack_name string, capacity_tokens int")
+    with pytest.raises(ValueError):
+        packing.placements(docs, packs)
+
+
 BANK = {"law": "jury verdict appeal statute tribunal plaintiff".split(), "music": "violin chorus octave melody drummer sonata".split(), "sport": "wicket goalkeeper referee sprint medal stadium".split()}
 PLAIN = "The blanket was damp and Hestmor walked home.|Every neighbour in Yorklo has a calendar to show.".split("|")
 
