@@ -1,14 +1,7 @@
-"""Script classification as strings of class letters: one letter per code point, with built-in functions only.
-
-``script_string(text)`` has the length of ``text``; each letter names the script of its code point after
-structural spans, inherited marks and white space are settled. Every later step (runs, slots, histograms) is a
-cheap operation on that string.
-"""
+"""Scripts, slots and structural spans: the fixed values of segmentation, and column functions on them."""
 
 from __future__ import annotations
 
-import unicodedata
-
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -56,105 +49,20 @@ JOINERS = ((0x200C, 0x200D), (0xFE00, 0xFE0F))
 
 DEFAULT_SLOT_MAP = {COMMON: NEUTRAL, LATIN: LATIN, DEVANAGARI: DEVANAGARI, KANNADA: KANNADA}
 
-# Letters of the class strings: n COMMON, u UNKNOWN, w white space, i inherited, C structural, z before any class.
-LETTERS = {"LATIN": "L", "DEVANAGARI": "D", "KANNADA": "K"} | dict(zip([s for s in SCRIPT_RANGES if s not in (LATIN, DEVANAGARI, KANNADA)], "ABEFGHIJMNOPQRSTUVWXYZabc"))
-SCRIPT_OF_LETTER = {v: k for k, v in LETTERS.items()} | {"n": COMMON, "u": UNKNOWN, "C": CODE_MATH, "z": COMMON}
-FREQUENT = ("L", "D", "K", "n", "C")
-RARE = tuple(x for x in SCRIPT_OF_LETTER if x not in (*FREQUENT, "z"))
 STRUCT = "|".join(STRUCTURAL)
 
 
-def java_class(ranges: tuple[tuple[int, int], ...], least: int = 0) -> str:
-    return "".join(f"\\x{{{max(a, least):X}}}-\\x{{{b:X}}}" for a, b in ranges if b >= least)
-
-
-SPACE_CLASS = "\\p{Z}\\t\\n\\x0B\\f\\r"
-
-
 def nfc(text: Column) -> Column:
-    """Canonical composition. Rows without code points from U+0300 on are composed already and stay in the JVM plan's
-    fast branch; null stays null."""
+    """Canonical composition, on the flat buffer of a batch; null stays null."""
+    from .arrow_runs import composed
 
     @F.arrow_udf("string")
-    def composed(v: pa.Array) -> pa.Array:
-        return pa.array([x if x is None or unicodedata.is_normalized("NFC", x) else unicodedata.normalize("NFC", x) for x in v.to_pylist()], pa.string())
+    def compose(v: pa.Array) -> pa.Array:
+        return composed(v)
 
-    return F.when(text.rlike("[\\x{0300}-\\x{10FFFF}]"), composed(text)).otherwise(text)
+    return compose(text)
 
 
 def structural_spans(text: Column) -> Column:
     """The spans of code and formulas, leftmost first."""
     return F.regexp_extract_all(text, F.lit(STRUCT), F.lit(0))
-
-
-def raw_classes(df, name: str):
-    """The column ``name`` as one letter per code point by category, block and joiner rules, before anything is settled
-    (w and i remain)."""
-    c = F.regexp_replace(F.col(name), "[A-Za-z]", "L")
-    c = F.regexp_replace(c, "[\\x00-\\x08\\x0E-\\x1F\\x7F-\\x9F]", "u")
-    c = F.regexp_replace(c, f"[{SPACE_CLASS}]", "w")
-    c = F.regexp_replace(c, "[\\p{N}\\p{P}\\p{S}]", "n")
-    for script in (LATIN, DEVANAGARI, KANNADA):
-        c = F.regexp_replace(c, f"[{java_class(SCRIPT_RANGES[script], 0x80)}]", LETTERS[script])
-    df = df.withColumn(name, c)
-    other = F.col(name)
-    for script, ranges in SCRIPT_RANGES.items():
-        if script not in (LATIN, DEVANAGARI, KANNADA):
-            other = F.regexp_replace(other, f"[{java_class(ranges)}]", LETTERS[script])
-    other = F.regexp_replace(other, f"[\\p{{M}}{java_class(JOINERS)}]", "i")
-    other = F.regexp_replace(other, "[^\\x00-\\x7F]", "u")
-    return df.withColumn(name, F.when(F.col(name).rlike("[^\\x00-\\x7F]"), other).otherwise(F.col(name)))
-
-
-def _after(c: Column, what: str, behind: str, to: str) -> Column:
-    """Runs of ``what`` right behind one of ``behind`` become ``to``; linear, as each match continues the last."""
-    return F.regexp_replace(c, f"(?:(?<=[{behind}])|(?<!^)\\G){what}", to)
-
-
-def settle_inherited(c: Column) -> Column:
-    """Inherited marks take the class before them; behind white space that of COMMON, at the start the initial one."""
-    out = F.regexp_replace(c, "\\Gi", "z")
-    for letter in SCRIPT_OF_LETTER:
-        if letter != "C":
-            out = _after(out, "i", "nw" if letter == "n" else letter, letter)
-    return F.when(F.instr(c, "i") > 0, out).otherwise(c)
-
-
-def _interleave(c: Column, parts: Column, spans: Column) -> Column:
-    """Put the structural spans back between the parts, as C."""
-    starts = F.aggregate(F.transform(parts, lambda p: F.length(p)), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    pieces = F.transform(parts, lambda p, k: F.concat(F.substring(c, F.element_at(starts, k + 1) + 1, F.length(p)), F.coalesce(F.repeat(F.lit("C"), F.length(F.get(spans, k))), F.lit(""))))
-    return F.array_join(pieces, "")
-
-
-def settle_space(df, name: str, mode: str):
-    """White space between classes, in the column ``name``: in mode ``leading`` it takes the class behind it (at the end
-    that before it, alone the initial one), in mode ``neutral`` that of COMMON."""
-    c = F.col(name)
-    if mode == "neutral":
-        return df.withColumn(name, F.translate(c, "w", "n"))
-    if mode != "leading":
-        raise ValueError(f"unknown white space mode {mode!r}: leading or neutral")
-    df = df.withColumn("__body", F.rtrim(c, F.lit("w")))
-    body = F.col("__body")
-    df = df.withColumn("__back", F.reverse(F.when(body == "", F.repeat(F.lit("z"), F.length(c))).otherwise(F.rpad(body, F.length(c), F.right(body, F.lit(1))))))
-    for letter in FREQUENT:
-        df = df.withColumn("__back", _after(F.col("__back"), "w", letter, letter))
-    back = rest = F.col("__back")
-    for letter in (*RARE, "z"):
-        rest = _after(rest, "w", letter, letter)
-    return df.withColumn(name, F.reverse(F.when(F.instr(back, "w") > 0, rest).otherwise(back))).drop("__body", "__back")
-
-
-def script_columns(df, text: str, out: str, mode: str = "leading"):
-    """``df`` with ``out``: the settled class string of the (NFC) text column. Null gives null, empty gives empty.
-
-    The steps are chained columns, so that none is evaluated twice.
-    """
-    t = F.col(text)
-    df = df.withColumn("__spans", structural_spans(t)).withColumn("__parts", F.split(t, STRUCT, -1))
-    df = df.withColumn("__c", F.when(F.size("__spans") == 0, t).otherwise(F.array_join("__parts", "")))
-    df = raw_classes(df, "__c")
-    df = df.withColumn("__c", settle_inherited(F.col("__c")))
-    df = df.withColumn("__c", F.when(F.size("__spans") == 0, F.col("__c")).otherwise(_interleave(F.col("__c"), F.col("__parts"), F.col("__spans"))))
-    return settle_space(df, "__c", mode).withColumn(out, F.col("__c")).drop("__spans", "__parts", "__c")

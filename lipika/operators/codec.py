@@ -10,14 +10,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scripts import CATCHALL
-from .segment import with_runs
+from . import segment
 
 WORD = re.compile(" [^ ]*|[^ ]+")
 UNSCORED = -20.0  # weight of a piece that has none
@@ -88,32 +90,34 @@ class Vocabulary:
 def encoded_runs(docs: DataFrame, vocab: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", mode: str = "leading") -> DataFrame:
     """One row per document: the keys, ``ids`` of the whole text, and for each run its slot, characters, bytes and tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(vocab))
-    given = with_runs(docs.select(*keys, F.col(text).alias("__t")), "__t", mode).drop("__t")
+    cutter = segment.cutter(mode)
+    given = docs.select(*keys, F.coalesce(text, F.lit("")).alias("__t"))
     kept = len(keys)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = shared.value, {}
         for batch in batches:
-            runs = batch.column(kept)
-            slots, texts = runs.values.field("slot").to_pylist(), runs.values.field("text").to_pylist()
-            found = []
-            for slot, run in zip(slots, texts):
-                ids: list[int] = []
-                for part in own.parts(slot, run):
-                    hit = known.get((slot, part))
-                    if hit is None:
-                        if len(known) > 200_000:
-                            known.clear()
-                        hit = known[slot, part] = own.encode(slot, part)
-                    ids += hit
-                found.append(ids)
-            sizes = np.array([len(x) for x in found], np.int64)
-            flat = pa.array(np.fromiter((i for x in found for i in x), np.int32, int(sizes.sum())))
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            per_doc = runs.offsets.to_numpy()
-            ids = pa.ListArray.from_arrays(pa.array(ends[per_doc]), flat)
-            stats = pa.StructArray.from_arrays([runs.values.field("slot"), pa.array([len(t) for t in texts], pa.int32()), pa.array([len(t.encode()) for t in texts], pa.int32()), pa.array(sizes.astype(np.int32))], ["slot", "chars", "bytes", "tokens"])
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(kept)), ids, pa.ListArray.from_arrays(runs.offsets, stats)], names=[*batch.schema.names[:kept], "ids", "run_stats"])
+            for at, part in cutter.parts(batch.column(kept)):
+                runs = cutter.cut(part)
+                texts = runs.text.to_pylist()
+                found = []
+                for slot, run in zip(runs.slot.to_pylist(), texts):
+                    ids: list[int] = []
+                    for piece in own.parts(slot, run):
+                        hit = known.get((slot, piece))
+                        if hit is None:
+                            if len(known) > 200_000:
+                                known.clear()
+                            hit = known[slot, piece] = own.encode(slot, piece)
+                        ids += hit
+                    found.append(ids)
+                sizes = np.array([len(x) for x in found], np.int64)
+                flat = pa.array(np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())))
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends[runs.offsets]), flat)
+                stats = pa.StructArray.from_arrays([runs.slot, pa.array(runs.end - runs.start), pc.binary_length(runs.text), pa.array(sizes.astype(np.int32))], ["slot", "chars", "bytes", "tokens"])
+                columns = [batch.column(k).slice(at, len(part)) for k in range(kept)]
+                yield pa.RecordBatch.from_arrays([*columns, ids, pa.ListArray.from_arrays(pa.array(runs.offsets.astype(np.int32)), stats)], names=[*batch.schema.names[:kept], "ids", "run_stats"])
 
     types = dict(docs.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "ids array<int>, run_stats array<struct<slot:string,chars:int,bytes:int,tokens:int>>"])

@@ -9,61 +9,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrow_runs import RUN_TYPE, cut_runs
-from ..functions.scripts import CATCHALL, CODE_MATH, DEFAULT_SLOT_MAP, NEUTRAL, SCRIPT_OF_LETTER, nfc, script_columns
+from ..functions.arrow_runs import RUN_TYPE, SCRIPT_OF_CLASS, Cutter, class_counts
+from ..functions.scripts import CATCHALL, CODE_MATH, DEFAULT_SLOT_MAP, NEUTRAL
 
 
-def slot_letters(slot_map: Mapping[str, str] | None = None, structural: str = CODE_MATH) -> tuple[dict[str, str], dict[str, str]]:
-    """({script letter: slot letter}, {slot letter: slot}). Scripts of the same slot share a letter, so their runs merge."""
-    own = DEFAULT_SLOT_MAP if slot_map is None else slot_map
-    slots = {x: own.get(s, CATCHALL) for x, s in SCRIPT_OF_LETTER.items()} | {"C": structural, "z": NEUTRAL}
-    names = sorted(set(slots.values()))
-    letter = {s: chr(0x41 + k) if k < 26 else chr(0x61 + k - 26) for k, s in enumerate(names)}
-    return {x: letter[s] for x, s in slots.items()}, {v: k for k, v in letter.items()}
-
-
-def _classes(docs: DataFrame, text: str, mode: str, form: str, slot_map, structural: str) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with __text, __slots and __scripts, and the slot of each letter."""
-    to_slot, names = slot_letters(slot_map, structural)
-    base = docs.withColumn("__text", nfc(F.col(text)) if form == "NFC" else F.col(text))
-    base = script_columns(base, "__text", "__scripts", mode)
-    return base.withColumn("__slots", F.translate("__scripts", "".join(to_slot), "".join(to_slot.values()))), names
+def cutter(mode: str = "leading", form: str = "NFC", slot_map: Mapping[str, str] | None = None, structural: str = CODE_MATH) -> Cutter:
+    return Cutter(DEFAULT_SLOT_MAP if slot_map is None else slot_map, mode, structural, NEUTRAL, CATCHALL, form)
 
 
 def with_runs(docs: DataFrame, text: str = "text", mode: str = "leading", form: str = "NFC", slot_map: Mapping[str, str] | None = None, structural: str = CODE_MATH) -> DataFrame:
-    """``docs`` with ``runs``: array of (slot, text, start, end, script) in text order; null or empty texts have none.
+    """``docs`` with ``runs`` in place of a column of that name: array of (slot, text, start, end, script) in text order; null
+    or empty texts have none.
 
-    Offsets are code points of the normalized text; ``script`` is that of the run's first character. Classes are
-    found by built-in expressions; the cut is an operator of its own, so that no expression is inlined into it.
+    Offsets are code points of the normalized text; ``script`` is that of the run's first character.
     """
-    base, names = _classes(docs, text, mode, form, slot_map, structural)
-    base = base.select(*docs.columns, *(F.coalesce(c, F.lit("")).alias(c) for c in ("__text", "__slots", "__scripts")))
-    kept = len(docs.columns)
+    own = cutter(mode, form, slot_map, structural)
+    docs = docs.withColumn("__t", F.coalesce(text, F.lit(""))).drop("runs")
+    kept = len(docs.columns) - 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = cut_runs(*(batch.column(kept + k) for k in range(3)), names, SCRIPT_OF_LETTER)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(kept)), found], names=[*batch.schema.names[:kept], "runs"])
+            for at, part in own.parts(batch.column(kept)):
+                columns = [batch.column(k).slice(at, len(part)) for k in range(kept)]
+                yield pa.RecordBatch.from_arrays([*columns, own.cut(part).structs()], names=[*batch.schema.names[:kept], "runs"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"runs {RUN_TYPE}"])
-    return base.mapInArrow(cut, schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:kept]), f"runs {RUN_TYPE}"])
+    return docs.mapInArrow(cut, schema)
 
 
 def runs(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", mode: str = "leading", form: str = "NFC", slot_map: Mapping[str, str] | None = None, structural: str = CODE_MATH) -> DataFrame:
     """One row per run: the keys, run_pos from 0 on, slot, text, start, end, script."""
-    given = docs.select(*keys, F.col(text).alias("__given"))
-    base, names = _classes(given, "__given", mode, form, slot_map, structural)
-    base = base.where("length(__text) > 0").select(*keys, "__text", "__slots", "__scripts")
+    own = cutter(mode, form, slot_map, structural)
+    given = docs.select(*keys, F.col(text).alias("__t")).where("length(__t) > 0")
     kept = len(keys)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = cut_runs(*(batch.column(kept + k) for k in range(3)), names, SCRIPT_OF_LETTER)
-            row = np.repeat(np.arange(len(found)), np.diff(found.offsets))
-            pos = np.arange(len(row)) - found.offsets.to_numpy()[row]
-            flat = found.values
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row)) for k in range(kept)), pa.array(pos.astype(np.int32)), *flat.flatten()], names=[*batch.schema.names[:kept], "run_pos", "slot", "text", "start", "end", "script"])
+            for at, part in own.parts(batch.column(kept)):
+                found = own.cut(part)
+                row = found.row
+                pos = np.arange(len(row)) - found.offsets[row]
+                columns = [batch.column(k).slice(at, len(part)).take(pa.array(row)) for k in range(kept)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(pos.astype(np.int32)), *found.fields()], names=[*batch.schema.names[:kept], "run_pos", "slot", "text", "start", "end", "script"])
 
     types = dict(given.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "run_pos int, slot string, text string, start int, `end` int, script string"])
-    return base.mapInArrow(cut, schema)
+    return given.mapInArrow(cut, schema)
+
+
+def script_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(script, chars): the characters of each script before marks and white space are settled; white space is COMMON, marks
+    and joiners are INHERITED."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(SCRIPT_OF_CLASS), np.int64)
+        for batch in batches:
+            total += class_counts(batch.column(0))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(SCRIPT_OF_CLASS).take(pa.array(at)), pa.array(total[at])], names=["script", "n"])
+
+    parts = docs.select(F.col(text)).where(f"length({text}) > 0").mapInArrow(count, "script string, n long")
+    return parts.groupBy("script").agg(F.sum("n").alias("chars"))

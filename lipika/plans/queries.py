@@ -176,25 +176,17 @@ def structural_spans(spark, sf):
     return given(spark, sf).select("doc_id", F.posexplode(spans).alias("pos", "span"))
 
 
-def _letters(spark, sf) -> DataFrame:
-    base = given(spark, sf).select(scripts.nfc(F.col("text")).alias("c"))
-    own = scripts.raw_classes(base, "c")
-    counts = [F.struct(F.lit(x).alias("letter"), F.sum(F.length("c") - F.length(F.translate("c", x, ""))).alias("n")) for x in (*scripts.SCRIPT_OF_LETTER, "w", "i") if x not in "zC"]
-    return own.agg(F.array(*counts).alias("a")).select(F.inline("a")).where("n > 0")
-
-
 @query
 def char_script_histogram(spark, sf):
-    names = scripts.SCRIPT_OF_LETTER | {"w": "COMMON", "i": "INHERITED"}
-    script = F.create_map(*(F.lit(x) for p in names.items() for x in p))[F.col("letter")]
-    return _letters(spark, sf).groupBy(script.alias("script")).agg(F.sum("n").alias("chars"))
+    return segment.script_counts(given(spark, sf))
 
 
 @query
 def char_slot_histogram(spark, sf):
-    names = {x: scripts.DEFAULT_SLOT_MAP.get(s, "CATCHALL") for x, s in (scripts.SCRIPT_OF_LETTER | {"w": "COMMON"}).items()} | {"i": "INHERITED"}
-    slot = F.create_map(*(F.lit(x) for p in names.items() for x in p))[F.col("letter")]
-    return _letters(spark, sf).groupBy(slot.alias("slot")).agg(F.sum("n").alias("chars"))
+    """Script counts by slot; marks and joiners keep INHERITED, scripts without a slot go to CATCHALL."""
+    names = scripts.DEFAULT_SLOT_MAP | {scripts.INHERITED: scripts.INHERITED}
+    slot = F.coalesce(F.create_map(*(F.lit(x) for p in names.items() for x in p))[F.col("script")], F.lit(scripts.CATCHALL))
+    return segment.script_counts(given(spark, sf)).groupBy(slot.alias("slot")).agg(F.sum("chars").alias("chars"))
 
 
 @query
