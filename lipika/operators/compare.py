@@ -68,28 +68,92 @@ def compared(pure: DataFrame, vocab: DataFrame, shared: DataFrame, by: tuple[str
     """(*by, documents, chars, part_tokens, base_tokens, improvement_pct, wins): both tokenizers on the same documents."""
     both = with_shared_tokens(codec.encoded_runs(pure, vocab, (*by, "text")).select(*by, "text", F.length("text").alias("chars"), F.size("ids").alias("part")), shared)
     sums = both.groupBy(*by).agg(F.count("*").alias("documents"), F.sum("chars").alias("chars"), F.sum("part").alias("part_tokens"), F.sum("base_tokens").alias("base_tokens"))
-    return sums.withColumn("improvement_pct", 100.0 * (F.col("base_tokens") - F.col("part_tokens")) / F.col("base_tokens")).withColumn("wins", F.col("part_tokens") < F.col("base_tokens"))
+    return rated(sums)
+
+
+def rated(sums: DataFrame) -> DataFrame:
+    """``sums`` with improvement_pct, what the parts save of the base's tokens, and wins."""
+    saved = F.col("base_tokens") - F.col("part_tokens")
+    return sums.withColumn("improvement_pct", F.try_divide(100.0 * saved, F.col("base_tokens"))).withColumn("wins", saved > 0)
+
+
+def costs(per_slot: DataFrame, part_size: int, base_size: int, width: int = 2048) -> DataFrame:
+    """(slot, ..., part_embedding, base_embedding, indic_better, no_regression): the rows of ``compared`` and one over all of
+    them (slot ALL), with what the vocabularies cost in embedding parameters and the two gates of a comparison.
+
+    indic_better: DEVANAGARI and KANNADA need fewer tokens, null where neither is there; no_regression: no slot
+    needs over one per cent more.
+    """
+    whole = per_slot.agg(F.lit("ALL").alias("slot"), *(F.sum(c).alias(c) for c in ("documents", "chars", "part_tokens", "base_tokens")))
+    saved = F.col("base_tokens") - F.col("part_tokens")
+    whole = whole.withColumn("improvement_pct", F.try_divide(100.0 * saved, F.col("base_tokens"))).withColumn("wins", saved > 0).where("documents is not null")
+    gates = per_slot.agg(F.bool_and(F.when(F.col("slot").isin("DEVANAGARI", "KANNADA"), F.col("wins"))).alias("indic_better"), F.bool_and(F.coalesce("improvement_pct", F.lit(0.0)) >= -1.0).alias("no_regression"))
+    rows = per_slot.select(*whole.columns).unionByName(whole)
+    rates = [F.try_divide(F.col(f"{k}_tokens").cast("double"), F.col("chars")).alias(f"{k}_tokens_per_char") for k in ("part", "base")]
+    return rows.select("*", *rates, F.lit(part_size * width).alias("part_embedding"), F.lit(base_size * width).alias("base_embedding")).crossJoin(F.broadcast(gates))
+
+
+def by_algorithm(docs: DataFrame, size: int, slots_: tuple[str, ...] = ("LATIN", "DEVANAGARI", "KANNADA"), held: float = 0.15) -> DataFrame:
+    """(slot, mode, bpe, unigram, winner, margin_pct): tokens of held-out runs under both algorithms at the same size, for both
+    white space modes. Documents are held out by a hash of their id."""
+    key = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+    found = None
+    for mode in ("leading", "neutral"):
+        runs = materialize(segment.runs(docs, mode=mode).where(F.col("slot").isin(list(slots_))).withColumn("held", key < held).select("slot", "text", "held"), "runs")
+        for algorithm in ("bpe", "unigram"):
+            specs = tuple(SlotSpec(s, algorithm) for s in slots_)
+            pieces, merges = build.train_slots(runs.where("not held"), dict.fromkeys(slots_, size), specs)
+            numbered = pieces.orderBy("slot", "token").collect()  # bounded by the sizes
+            rows = [(k, r["slot"], r["token"], r["score"]) for k, r in enumerate(numbered)] + [(len(numbered) + b, CATCHALL, f"<0x{b:02X}>", None) for b in range(BYTE_ROWS)]
+            vocab = docs.sparkSession.createDataFrame(rows, "id int, slot string, token string, score double")
+            one = tokens_by_slot(runs.where("held"), vocab, merges).select("slot", F.lit(mode).alias("mode"), F.lit(algorithm).alias("algorithm"), "tokens")
+            found = one if found is None else found.unionByName(one)
+    return winners(found)
+
+
+def winners(scores: DataFrame, first: str = "bpe", second: str = "unigram") -> DataFrame:
+    """(slot, mode, first, second, winner, margin_pct) of (slot, mode, algorithm, tokens): who needs fewer, and by how much of the
+    other's; a tie has no winner."""
+    wide = scores.groupBy("slot", "mode").pivot("algorithm", [first, second]).agg(F.sum("tokens"))
+    winner = F.when(F.col(first) < F.col(second), first).when(F.col(second) < F.col(first), second)
+    margin = 100.0 * (F.greatest(first, second) - F.least(first, second)) / F.greatest(first, second)
+    return wide.select("slot", "mode", first, second, winner.alias("winner"), margin.alias("margin_pct"))
+
+
+def tokens_by_slot(runs: DataFrame, vocab: DataFrame, merges: DataFrame | None = None) -> DataFrame:
+    """(slot, tokens) of runs (slot, text), each distinct run encoded once."""
+    folded = runs.groupBy("slot", "text").agg(F.count("*").alias("n"))
+    return codec.encoded_rows(folded, vocab, merges).groupBy("slot").agg(F.sum(F.col("n") * F.size("ids")).alias("tokens"))
 
 
 def gap(pure: DataFrame, vocab: DataFrame, shared: DataFrame) -> DataFrame:
     """(slot, train, held, gap): the improvement on training and on other documents (``held`` tells), in per cent, and the difference."""
-    found = compared(pure, vocab, shared, ("slot", "held")).groupBy("slot")
+    return gaps(compared(pure, vocab, shared, ("slot", "held")))
+
+
+def gaps(rows: DataFrame) -> DataFrame:
+    """(slot, train, held, gap) of rows by slot and held."""
     side = {n: F.max(F.when(F.col("held") == F.lit(v), F.col("improvement_pct"))).alias(n) for n, v in (("train", False), ("held", True))}
-    return found.agg(*side.values()).withColumn("gap", F.col("train") - F.col("held"))
+    return rows.groupBy("slot").agg(*side.values()).withColumn("gap", F.col("train") - F.col("held"))
 
 
-def gain_by_size(docs: DataFrame, totals: tuple[int, ...]) -> DataFrame:
-    """(slot, total, chars, tokens, fertility, gain_pct): tokens per character under vocabularies trained at each total,
-    and what each total saves over the one before."""
+def gain_by_size(docs: DataFrame, totals: tuple[int, ...], scored: DataFrame | None = None) -> DataFrame:
+    """(slot, total, chars, tokens, fertility, gain_pct): tokens per character of ``scored`` (or ``docs``) under vocabularies
+    trained on ``docs`` at each total, and what each total saves over the one before."""
     per = None
     for total in totals:
-        vocab = build.train(docs, total)[0]
-        stats = codec.encoded_runs(docs, vocab).select(F.inline("run_stats")).groupBy("slot").agg(F.sum("chars").alias("chars"), F.sum("tokens").alias("tokens"))
+        built = build.train(docs, total, least=min(300, total // 10))
+        found = codec.encoded_runs(docs if scored is None else scored, built.vocab, merges=built.merges)
+        stats = found.select(F.inline("run_stats")).groupBy("slot").agg(F.sum("chars").alias("chars"), F.sum("tokens").alias("tokens"))
         one = materialize(stats.select("slot", F.lit(total).alias("total"), "chars", "tokens"), "gain")
         per = one if per is None else per.unionByName(one)
-    rated = per.withColumn("fertility", F.col("tokens") / F.col("chars"))
-    before = F.lag("fertility").over(Window.partitionBy("slot").orderBy("total"))
-    return rated.withColumn("gain_pct", (before - F.col("fertility")) / before * 100)
+    return gains(per, "slot")
+
+
+def gains(sizes: DataFrame, by: str) -> DataFrame:
+    """``sizes`` (by, total, tokens, chars) with fertility and the share, in per cent, a total saves over the one before."""
+    before = F.lag("fertility").over(Window.partitionBy(by).orderBy("total"))
+    return sizes.withColumn("fertility", F.col("tokens") / F.col("chars")).withColumn("gain_pct", (before - F.col("fertility")) / before * 100)
 
 
 def utilization(docs: DataFrame, vocab: DataFrame) -> DataFrame:

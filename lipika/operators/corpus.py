@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WORD_SPACE, strip, words
+from ..functions.text import strip, words
+from ..session import materialize
 from .prefix import with_before, with_number
 
 
@@ -65,4 +66,36 @@ def extract(docs: DataFrame, least: int, most: int) -> DataFrame:
     return docs.withColumn("text", strip(F.col("text"))).where(F.length("text") >= least).withColumn("text", F.substring("text", 1, most))
 
 
-__all__ = ["WORD_SPACE", "extract", "heldout_by_shuffle", "loose_text", "positional_split", "running_cut", "seeded_key", "sentence_overlap", "sentences"]
+def joined_sample(docs: DataFrame, order: list[str], groups: list[str], lines: int, chars: int) -> DataFrame:
+    """(groups, lines, text): of each group the first texts, at most ``lines`` and until they have ``chars`` characters (with the
+    one that reaches them), joined by line feeds. So a group's text is bounded, whatever its rows."""
+    sized = docs.select(*groups, *order, "text", F.length("text").alias("__n"))
+    cut = running_cut(sized, F.col("__n"), chars, order, groups)
+    cut = with_number(cut, order, groups, "__k").where(F.col("__k") <= lines)
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("__k", "text"))), lambda r: r["text"])
+    return cut.groupBy(*groups).agg(F.count("*").alias("lines"), F.array_join(rows, "\n").alias("text"))
+
+
+def extract_lines(lines: DataFrame, skip: int, least: int, most: int, target: int, key: str = "text") -> tuple[DataFrame, DataFrame]:
+    """((line_no, text), counters) of lines (line_no from 1 on, line): the string ``key`` of the JSON objects behind the first
+    ``skip`` lines, trimmed, with at least ``least`` characters, cut at ``most``, until ``target`` characters are there.
+
+    Counters: read (lines behind the skipped ones), broken (no JSON), without (no such string), short, taken, chars.
+    Broken, without and short count all lines that were read.
+    """
+    parsed = F.try_parse_json("line")
+    own = strip(F.try_variant_get(parsed, f"$.{key}", "string"))
+    kind = F.schema_of_variant(F.try_variant_get(parsed, f"$.{key}", "variant"))
+    said = F.when(kind == "STRING", own)
+    state = F.when(parsed.isNull(), "broken").when(said.isNull(), "without").when(F.length(said) < least, "short").otherwise("fits")
+    each = materialize(lines.where(F.col("line_no") > skip).select("line_no", state.alias("state"), F.substring(said, 1, most).alias("text")), "extract")
+    fits = each.where("state = 'fits'").select("line_no", "text")
+    taken = materialize(running_cut(fits, F.length("text"), target, ["line_no"]), "taken")
+    counts = each.agg(F.count("*").alias("read"), *(F.count_if(F.col("state") == s).alias(s) for s in ("broken", "without", "short")))
+    return taken, counts.crossJoin(taken.agg(F.count("*").alias("taken"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")))
+
+
+def group_scan(lines: DataFrame, field: str, most: int) -> DataFrame:
+    """(name, first_line, lines) of the values of a JSON field in the first ``most`` lines, found by pattern without parsing."""
+    found = F.regexp_extract("line", f'"{field}"\\s*:\\s*"([^"]+)"', 1)
+    return lines.where(F.col("line_no") <= most).select("line_no", found.alias("name")).where("name <> ''").groupBy("name").agg(F.min("line_no").alias("first_line"), F.count("*").alias("lines"))

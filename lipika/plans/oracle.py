@@ -64,19 +64,13 @@ def _letters() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    from .evaluation_sql import evaluation_sql
+
     leading, neutral = runs(), runs("neutral")
     sentence = "SELECT unnest(string_split(text, '।')) AS sentence FROM corpus_docs WHERE text IS NOT NULL AND split = "
-    pick = "[{bank}][1 + CAST(CAST(concat('0x', substr(digit, {at}, 4)) AS BIGINT) % {n} AS INT)]"
-
-    def synthetic(n: int, seed: int) -> str:
-        from .queries import OBJECTS, SUBJECTS, VERBS
-
-        parts = [pick.format(bank=", ".join(f"'{x}'" for x in bank), at=1 + 4 * k, n=len(bank)) for k, bank in enumerate((SUBJECTS, VERBS, OBJECTS))]
-        return f"SELECT concat('syn-', lpad(CAST(id AS VARCHAR), 9, '0')) AS doc_id, concat_ws(' ', {', '.join(parts)}) AS text FROM (SELECT range AS id, md5(concat('{seed}:', range)) AS digit FROM range({n}))"
-
     slot_of_id = "i.id >= r.start_id AND i.id < r.end_id"
-    byte_ids = f"(SELECT doc_id, lang, list_transform({BYTES}, lambda b: b + 4705) AS ids FROM {FILLED})"
-    return {
+    byte_ids = f"(SELECT doc_id, lang, list_transform({BYTES}, lambda b: b + start_id) AS ids FROM {FILLED} CROSS JOIN (SELECT start_id FROM slot_ranges WHERE name = 'CATCHALL'))"
+    return evaluation_sql() | {
         "scan_documents": "SELECT doc_id, kind, CAST(length(text) AS BIGINT) AS chars FROM documents",
         "read_slot_partition": f"WITH {leading} SELECT count(*) AS runs, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM runs WHERE slot = 'KANNADA'",
         "extract_text_filtered": f"SELECT doc_id, md5(t) AS digest, CAST(length(t) AS BIGINT) AS chars FROM (SELECT doc_id, substring(t, 1, 1000) AS t FROM (SELECT doc_id, regexp_replace(text, '^{WORD_SPLIT}|{WORD_SPLIT}$', '', 'g') AS t FROM {TEXTS}) WHERE length(t) >= 200)",
@@ -122,41 +116,31 @@ def oracle_sql() -> dict[str, str]:
         "embedding_params": "SELECT name, (end_id - start_id)::BIGINT * 2048 AS tied, (end_id - start_id)::BIGINT * 4096 AS untied FROM slot_ranges",
         "id_layout": "SELECT name, CAST(5 + coalesce(sum(size) OVER (ORDER BY start_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS start_id, CAST(5 + sum(size) OVER (ORDER BY start_id) AS INT) AS end_id, algorithm, size FROM slot_ranges",
         "layout_violations": "SELECT name, 'not contiguous' AS violation FROM (SELECT name, start_id, coalesce(lag(end_id) OVER (ORDER BY start_id, name), 5) AS before FROM slot_ranges) WHERE start_id <> before UNION ALL SELECT name, 'empty' FROM slot_ranges WHERE end_id <= start_id UNION ALL SELECT name, 'size differs' FROM slot_ranges WHERE end_id - start_id <> size",
-        "id_to_slot": f"SELECT CAST(i.id AS INT) AS id, r.name AS slot, CAST(i.id - r.start_id AS INT) AS local_id FROM (SELECT range AS id FROM range(-2, 5000)) i LEFT JOIN slot_ranges r ON {slot_of_id}",
-        "id_space_sound": f"SELECT count(*) AS ids, CAST(sum(CASE WHEN r.name IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unrouted FROM (SELECT range AS id FROM range(5, 100000) WHERE range < (SELECT max(end_id) FROM slot_ranges)) i LEFT JOIN slot_ranges r ON {slot_of_id}",
+        "id_to_slot": f"SELECT CAST(i.id AS INT) AS id, r.name AS slot, CAST(i.id - r.start_id AS INT) AS local_id FROM (SELECT range AS id FROM range(-2, (SELECT max(end_id) FROM slot_ranges) + 40)) i LEFT JOIN slot_ranges r ON {slot_of_id}",
+        "id_space_sound": f"SELECT count(*) AS ids, CAST(sum(CASE WHEN r.name IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unrouted FROM (SELECT range AS id FROM range(5, (SELECT max(end_id) FROM slot_ranges))) i LEFT JOIN slot_ranges r ON {slot_of_id}",
         "describe_layout": "SELECT r.name, r.start_id, r.end_id, r.algorithm, array_to_string(s.scripts, ',') AS scripts, s.structural, s.trained FROM slot_ranges r JOIN slot_specs s USING (name)",
         "vocab_freeze": "SELECT slot AS name, CAST(5 + sum(n) OVER (ORDER BY o) - n AS INT) AS start_id, CAST(5 + sum(n) OVER (ORDER BY o) AS INT) AS end_id, 'frozen' AS algorithm, CAST(n AS INT) AS size FROM (SELECT slot, count(*) AS n, min(id) AS o FROM slot_vocab WHERE slot IS NOT NULL GROUP BY slot)",
         "local_vocab": "SELECT id, slot, CAST(row_number() OVER (PARTITION BY slot ORDER BY id) - 1 AS INT) AS local_id FROM slot_vocab WHERE slot IS NOT NULL",
         "local_to_global": "SELECT v.id, v.slot, CAST(r.start_id + v.local_id AS INT) AS global_id FROM slot_vocab v JOIN slot_ranges r ON v.slot = r.name",
         "token_to_first_id": "SELECT token, min(id) AS first_id, count(*) AS ids FROM slot_vocab GROUP BY token",
         "byte_tax": "SELECT slot, count(*) AS rows, CAST(sum(CASE WHEN strlen(token) = 1 OR regexp_matches(token, '^<0x[0-9A-F]{2}>$') THEN 1 ELSE 0 END) AS BIGINT) AS byte_rows, sum(CASE WHEN strlen(token) = 1 OR regexp_matches(token, '^<0x[0-9A-F]{2}>$') THEN 1 ELSE 0 END) / count(*)::DOUBLE AS share FROM slot_vocab WHERE slot IS NOT NULL GROUP BY slot",
-        "decode_id_groups": "WITH n AS (SELECT v.id, v.token, r.name AS slot FROM slot_vocab v LEFT JOIN slot_ranges r ON v.id >= r.start_id AND v.id < r.end_id), e AS (SELECT *, CASE WHEN slot IS NULL OR slot IS DISTINCT FROM lag(slot) OVER (ORDER BY id) THEN 1 ELSE 0 END AS edge FROM n), g AS (SELECT *, sum(edge) OVER (ORDER BY id) AS grp FROM e) SELECT any_value(slot) AS slot, min(id) AS first_id, count(*) AS ids, md5(string_agg(token, '' ORDER BY id)) AS digest FROM g GROUP BY grp",
         "encode_with_bos_eos": f"SELECT doc_id, CAST(len(ids) + 2 AS BIGINT) AS tokens, md5(concat('1 ', array_to_string(ids, ' '), ' 2')) AS ids FROM {byte_ids}",
         "decode_skip_specials": f"SELECT doc_id, md5(text) AS digest FROM {FILLED}",
         "pad_batch": f"SELECT doc_id, doc_id // 32 AS batch, CAST(max(strlen(text)) OVER (PARTITION BY doc_id // 32) AS BIGINT) AS width, CAST(strlen(text) AS BIGINT) AS attended FROM {FILLED}",
-        "vocab_utilization": f"WITH used AS (SELECT DISTINCT unnest(ids) AS id FROM {byte_ids}), per AS (SELECT r.name, count(*) AS used FROM used i JOIN slot_ranges r ON {slot_of_id} GROUP BY r.name) SELECT r.name AS slot, CAST(r.size AS BIGINT) AS size, coalesce(used, 0) AS used, coalesce(used, 0) / r.size::DOUBLE AS utilization FROM slot_ranges r LEFT JOIN per USING (name)",
         "lm_windows": f"SELECT doc_id, start, least(start + 257, n) - start - 1 AS scored FROM (SELECT doc_id, n, unnest(range(0, n - 1, 256)) AS start FROM (SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n FROM {FILLED}) WHERE n >= 2)",
         "shard_plan": f"WITH p AS (SELECT n, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM (SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS n FROM {FILLED})), c AS (SELECT n, o, unnest(range(o // 100000, (o + n - 1) // 100000 + 1)) AS shard FROM p) SELECT shard, count(*) AS pieces, CAST(sum(least(o + n, (shard + 1) * 100000) - greatest(o, shard * 100000)) AS BIGINT) AS tokens FROM c GROUP BY shard",
         "bpb_ngram": f"WITH b AS (SELECT doc_id % 2 AS half, {BYTES} AS b FROM {TEXTS}), p AS (SELECT half, b[i] AS a, b[i + 1] AS b FROM (SELECT half, b, unnest(range(1, len(b))) AS i FROM b)), c AS (SELECT half, a, b, count(*) AS n FROM p GROUP BY ALL), f AS (SELECT a, b, n AS k FROM c WHERE half = 0), t AS (SELECT a, sum(k) AS total FROM f GROUP BY a) SELECT CAST(sum(n) AS BIGINT) AS scored_tokens, round(sum(-ln((coalesce(k, 0) + 1)::DOUBLE / (coalesce(total, 0) + 256)::DOUBLE) * n) / ln(2.0) / sum(n), 6) AS bits_per_byte FROM c LEFT JOIN f USING (a, b) LEFT JOIN t USING (a) WHERE half = 1",
         "per_slot_metrics": f"WITH {leading} SELECT *, bytes AS tokens, CASE WHEN chars > 0 THEN bytes::DOUBLE / chars END AS tokens_per_char, CASE WHEN bytes > 0 THEN chars::DOUBLE / bytes END AS chars_per_token, CASE WHEN bytes > 0 THEN 1.0::DOUBLE END AS bytes_per_token FROM (SELECT slot, count(*) AS runs, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM runs GROUP BY slot)",
         "corpus_metrics": f"SELECT *, tokens::DOUBLE / words AS tokens_per_word, tokens::DOUBLE / chars AS tokens_per_char FROM (SELECT count(*) AS documents, CAST(sum(strlen(text)) AS BIGINT) AS tokens, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(len({WORDS})) AS BIGINT) AS words FROM {TEXTS})",
         "roundtrip_report": f"SELECT count(*) AS documents, count(*) FILTER (decode(encode(text)) = text) AS exact, CAST(sum(strlen(text)) AS BIGINT) AS total_ids, count(*) FILTER (decode(encode(text)) <> text) AS failures FROM {TEXTS}",
-        "gates": f"SELECT 'roundtrip' AS gate, count(*) FILTER (decode(encode(text)) <> text) = 0 AS passed FROM {TEXTS} UNION ALL SELECT 'id_space', count(*) FILTER (r.name IS NULL) = 0 FROM (SELECT range AS id FROM range(5, 100000) WHERE range < (SELECT max(end_id) FROM slot_ranges)) i LEFT JOIN slot_ranges r ON {slot_of_id} UNION ALL SELECT 'layout', count(*) FILTER (start_id <> before OR end_id <= start_id OR end_id - start_id <> size) = 0 FROM (SELECT *, coalesce(lag(end_id) OVER (ORDER BY start_id, name), 5) AS before FROM slot_ranges)",
-        "compare_per_script": f"WITH {leading}, {DOMINANT} SELECT *, 100.0::DOUBLE * (base_tokens - part_tokens) / base_tokens AS improvement_pct, part_tokens < base_tokens AS wins FROM (SELECT slot, count(*) AS documents, CAST(sum(length(d.text)) AS BIGINT) AS part_tokens, CAST(sum(strlen(d.text)) AS BIGINT) AS base_tokens FROM dominant JOIN documents d USING (doc_id) WHERE slot <> 'NEUTRAL' AND purity >= 90 GROUP BY slot)",
-        "memorization_gap": "WITH d AS (SELECT regexp_replace(kind, '_held$', '') AS kind, split, text FROM corpus_docs WHERE text IS NOT NULL), s AS (SELECT kind, sum(strlen(text)) FILTER (split = 'train')::DOUBLE / sum(length(text)) FILTER (split = 'train') AS train, sum(strlen(text)) FILTER (split = 'test')::DOUBLE / sum(length(text)) FILTER (split = 'test') AS test FROM d WHERE kind IS NOT NULL GROUP BY kind) SELECT kind, train, test, train - test AS gap FROM s WHERE train IS NOT NULL AND test IS NOT NULL",
-        "marginal_gain": f"SELECT lang, kind, fertility, (before - fertility) / before * 100 AS gain_pct FROM (SELECT *, lag(fertility) OVER (PARTITION BY lang ORDER BY kind) AS before FROM (SELECT lang, kind, sum(strlen(text))::DOUBLE / sum(length(text)) AS fertility FROM {TEXTS} WHERE lang IS NOT NULL AND kind IS NOT NULL GROUP BY lang, kind))",
-        "algo_pivot": "SELECT v.slot, count(*) FILTER (algorithm = 'bpe') AS bpe, count(*) FILTER (algorithm = 'unigram') AS unigram, count(*) FILTER (algorithm = 'bytes') AS bytes FROM slot_vocab v JOIN slot_specs s ON v.slot = s.name GROUP BY v.slot",
-        "seed_stats": f"SELECT kind, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS std, abs(avg(n)) > stddev_samp(n) AS decisive FROM (SELECT kind, length(text)::DOUBLE AS n FROM {TEXTS}) GROUP BY kind",
+        "gates": f"SELECT 'roundtrip' AS gate, count(*) FILTER (decode(encode(text)) <> text) = 0 AS passed FROM {TEXTS} UNION ALL SELECT 'id_space', count(*) FILTER (r.name IS NULL) = 0 FROM (SELECT range AS id FROM range(5, (SELECT max(end_id) FROM slot_ranges))) i LEFT JOIN slot_ranges r ON {slot_of_id} UNION ALL SELECT 'layout', count(*) FILTER (start_id <> before OR end_id <= start_id OR end_id - start_id <> size) = 0 FROM (SELECT *, coalesce(lag(end_id) OVER (ORDER BY start_id, name), 5) AS before FROM slot_ranges)",
         "bpe_train_pairs": f"WITH {leading}, b AS (SELECT slot, {BYTES} AS b FROM runs) SELECT slot, b[i] AS first, b[i + 1] AS second, count(*) AS n FROM (SELECT slot, b, unnest(range(1, len(b))) AS i FROM b) GROUP BY ALL",
         "unigram_seed_pieces": f"WITH {leading}, k AS (SELECT slot, text FROM runs WHERE slot = 'KANNADA'), i AS (SELECT slot, text, unnest(range(1, length(text) + 1)) AS i FROM k), p AS (SELECT slot, text, i, unnest(range(1, least(3, length(text) - i + 1) + 1)) AS n FROM i) SELECT slot, substring(text, i, n) AS piece, count(*) AS n FROM p GROUP BY ALL",
         "fallback_chars": f"WITH {leading}, c AS (SELECT slot, unnest(string_split(text, '')) AS ch FROM runs), k AS (SELECT DISTINCT slot, token AS ch FROM slot_vocab WHERE slot IS NOT NULL AND slot <> 'CATCHALL' AND length(token) = 1) SELECT c.slot, count(*) AS chars, count(*) FILTER (k.ch IS NULL) AS uncovered FROM c LEFT JOIN k ON c.slot = k.slot AND c.ch = k.ch GROUP BY c.slot",
-        "sentence_space": "SELECT *, slots * encodings * patterns AS space FROM (SELECT count(DISTINCT slot) AS slots, count(DISTINCT encoding) AS encodings, count(DISTINCT glob_pattern) AS patterns FROM corpus_entries)",
         "budget_allocation": f"""WITH {leading}, w AS (SELECT slot, pow(sum(strlen(text))::DOUBLE, 0.7) AS w FROM runs WHERE slot <> 'CATCHALL' GROUP BY slot),
             p AS (SELECT slot, CAST(round_even((8000 - 256) * w / (SELECT sum(w) FROM w), 0) AS INT) AS n FROM w), m AS (SELECT arg_max(slot, n) AS slot, 7744 - sum(n) AS drift FROM p)
             SELECT p.slot, CAST(p.n + CASE WHEN p.slot = m.slot THEN m.drift ELSE 0 END AS INT) AS rows FROM p, m UNION ALL SELECT 'CATCHALL', 256""",
         "corpus_registry": "SELECT name, unnest(paths) AS path, string_split(glob_pattern, '/')[-1] AS pattern, regexp_replace(lower(encoding), '[^a-z0-9]', '', 'g') AS encoding, weight FROM corpus_entries",
         "documents_json_roundtrip": f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, kind, md5(text) AS digest FROM {TEXTS}",
-        "artifact_verify": "SELECT unnest(['vocab', 'layout']) AS part, NULL::VARCHAR AS problem",
-        "synthetic_corpus": synthetic(2000, 1337),
-        "synthetic_heldout": synthetic(500, 4242),
+        "artifact_verify": "SELECT unnest(['vocab', 'layout', 'merges', 'texts']) AS part, NULL::VARCHAR AS problem",
     }

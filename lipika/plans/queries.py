@@ -2,53 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scripts, text
-from ..operators import build, codec, compare, corpus, segment, slots, training
+from ..operators import build, codec, compare, corpus, generator, segment, slots, training
 from ..operators.prefix import with_before, with_number
-from ..session import materialize, ship, table
+from ..model import TokenizerModel
+from ..session import few, fresh_path, materialize, table
 from ..sources import sinks
-from ..sources.files import read_slot_corpus
+from ..sources.files import read_documents, read_slot_corpus
+from .registry import QUERIES, Query, docs, given, joined, query, spread
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
 GROUPED = {"COMMON": "NEUTRAL", "LATIN": "EUROPEAN", "GREEK": "EUROPEAN", "CYRILLIC": "EUROPEAN", "DEVANAGARI": "INDIC", "KANNADA": "INDIC"}
 
 
-def query(f: Query) -> Query:
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        ship(spark)
-        return f(spark, sf)
-
-    QUERIES[f.__name__] = run
-    return f
-
-
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Few files on many cores: share the rows out. Larger inputs have splits enough and stay as they are."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    from . import evaluation  # noqa: F401  its queries register themselves
 
-
-def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents"))
-
-
-def given(spark: SparkSession, sf: str) -> DataFrame:
-    return docs(spark, sf).where("text is not null")
-
-
-def joined(ids) -> F.Column:
-    return F.md5(F.array_join(ids, " "))
+    return dict(QUERIES)
 
 
 # --- scans and extraction -------------------------------------------------------------------------------------
@@ -59,21 +31,11 @@ def scan_documents(spark, sf):
 
 @query
 def read_slot_partition(spark, sf):
-    runs = segment.runs(docs(spark, sf))
-    path = materialize_path(runs)
+    path = fresh_path(spark, "slots")
+    sinks.write_slot_corpus(segment.runs(docs(spark, sf)), path)
     return read_slot_corpus(spark, path, "KANNADA").agg(F.count("*").alias("runs"), F.sum(F.octet_length("text")).alias("bytes"))
 
 
-def materialize_path(runs: DataFrame) -> str:
-    import uuid
-
-    from ..session import shared_dir
-
-    path = f"{shared_dir(runs.sparkSession)}/lipika/slots-{uuid.uuid4().hex}"
-    runs.write.partitionBy("slot").parquet(path)
-    return path
-
-
 @query
 def loose_jsonl_text(spark, sf):
     """Lines of every kind, made of the documents: objects under several keys, broken ones, plain text, blanks."""
@@ -304,15 +266,16 @@ def layout_violations(spark, sf):
 
 @query
 def id_to_slot(spark, sf):
-    ids = spark.range(-2, 5000).select(F.col("id").cast("int").alias("id"))
-    return slots.with_slot_of_id(ids, table(spark, sf, "slot_ranges"))
+    ranges = table(spark, sf, "slot_ranges")
+    top = ranges.agg(F.max("end_id")).first()[0]
+    return slots.with_slot_of_id(spark.range(-2, top + 40).select(F.col("id").cast("int").alias("id")), ranges)
 
 
 @query
 def id_space_sound(spark, sf):
-    top = table(spark, sf, "slot_ranges").agg(F.max("end_id").alias("top"))
-    ids = spark.range(len(slots.SPECIALS), 100_000).join(F.broadcast(top), F.col("id") < F.col("top")).select(F.col("id").cast("int").alias("id"))
-    return slots.with_slot_of_id(ids, table(spark, sf, "slot_ranges")).agg(F.count("*").alias("ids"), F.sum(F.when(F.col("slot").isNull(), 1).otherwise(0)).alias("unrouted"))
+    ranges = table(spark, sf, "slot_ranges")
+    top = ranges.agg((F.max("end_id") - len(slots.SPECIALS)).cast("long").alias("ids"))
+    return top.crossJoin(slots.unrouted(ranges).agg(F.count("*").alias("unrouted")))
 
 
 @query
@@ -353,24 +316,16 @@ def byte_tax(spark, sf):
     return v.groupBy("slot").agg(F.count("*").alias("rows"), raw.alias("byte_rows")).withColumn("share", F.col("byte_rows") / F.col("rows"))
 
 
-@query
-def decode_id_groups(spark, sf):
-    """The vocabulary's ids in order as a stream: groups of consecutive ids of one slot, specials between them."""
-    v = table(spark, sf, "slot_vocab").select("id", "token")
-    named = slots.with_slot_of_id(v, table(spark, sf, "slot_ranges"))
-    order = Window.orderBy("id")
-    edge = F.when(F.col("slot").isNull() | ~F.col("slot").eqNullSafe(F.lag("slot").over(order)), 1).otherwise(0)
-    grouped = named.withColumn("edge", edge).withColumn("grp", F.sum("edge").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    found = grouped.groupBy("grp").agg(F.first("slot").alias("slot"), F.min("id").alias("first_id"), F.count("*").alias("ids"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "token"))), lambda x: x["token"]), "")).alias("digest"))
-    return found.select("slot", "first_id", "ids", "digest")
+# --- token streams of the byte slot ----------------------------------------------------------------------------
 
 
-# --- token streams of the byte slot ----------------------------------------------------------------------------
-BYTES_FROM = 4705
+def _first_byte(spark, sf) -> int:
+    return table(spark, sf, "slot_ranges").where("name = 'CATCHALL'").first()["start_id"]
 
 
 def _byte_ids(spark, sf) -> DataFrame:
-    return given(spark, sf).where("text <> ''").select("doc_id", "lang", F.transform(text.utf8_bytes(F.col("text")), lambda b: b + F.lit(BYTES_FROM)).alias("ids"))
+    start = _first_byte(spark, sf)
+    return given(spark, sf).where("text <> ''").select("doc_id", "lang", F.transform(text.utf8_bytes(F.col("text")), lambda b: b + F.lit(start)).alias("ids"))
 
 
 @query
@@ -382,7 +337,8 @@ def encode_with_bos_eos(spark, sf):
 @query
 def decode_skip_specials(spark, sf):
     ids = F.filter(F.concat(F.array(F.lit(1)), F.col("ids"), F.array(F.lit(2), F.lit(0))), lambda x: x >= len(slots.SPECIALS))
-    back = text.from_bytes(F.transform(ids, lambda x: x - F.lit(BYTES_FROM)))
+    start = _first_byte(spark, sf)
+    back = text.from_bytes(F.transform(ids, lambda x: x - F.lit(start)))
     return _byte_ids(spark, sf).select("doc_id", F.md5(back).alias("digest"))
 
 
@@ -395,14 +351,6 @@ def pad_batch(spark, sf):
     return padded.select("doc_id", "batch", F.size("all").cast("long").alias("width"), F.aggregate(F.transform("all", lambda x: (x != 0).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x).alias("attended"))
 
 
-@query
-def vocab_utilization(spark, sf):
-    used = _byte_ids(spark, sf).select(F.explode(F.array_distinct("ids")).alias("id")).distinct()
-    counts = slots.with_slot_of_id(used, table(spark, sf, "slot_ranges")).groupBy("slot").agg(F.count("*").alias("used"))
-    r = table(spark, sf, "slot_ranges").select(F.col("name").alias("slot"), F.col("size").cast("long").alias("size"))
-    return r.join(counts, "slot", "left").select("slot", "size", F.coalesce("used", F.lit(0)).alias("used"), (F.coalesce("used", F.lit(0)) / F.col("size")).alias("utilization"))
-
-
 @query
 def lm_windows(spark, sf):
     """Scoring windows of 256 tokens over each document's stream; each but its first token is scored once."""
@@ -461,41 +409,6 @@ def gates(spark, sf):
     return one.unionByName(two).unionByName(three)
 
 
-@query
-def compare_per_script(spark, sf):
-    """Bytes against characters on the pure documents of each slot; no tokenizer is run, see compare_with_baseline."""
-    pure = _dominant(spark, sf).where("slot <> 'NEUTRAL' and purity >= 90").join(given(spark, sf), "doc_id")
-    sums = pure.groupBy("slot").agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("part_tokens"), F.sum(F.octet_length("text")).alias("base_tokens"))
-    return sums.withColumn("improvement_pct", 100.0 * (F.col("base_tokens") - F.col("part_tokens")) / F.col("base_tokens")).withColumn("wins", F.col("part_tokens") < F.col("base_tokens"))
-
-
-@query
-def memorization_gap(spark, sf):
-    """By kind: bytes per character in the train split less that in the test split; no tokenizer is run, see memorization_gap_tokens."""
-    d = table(spark, sf, "corpus_docs").where("text is not null").withColumn("kind", F.regexp_replace("kind", "_held$", ""))
-    side = [d.where(f"split = '{s}'").groupBy("kind").agg((F.sum(F.octet_length("text")) / F.sum(F.length("text"))).alias(s)) for s in ("train", "test")]
-    return side[0].join(side[1], "kind").select("kind", "train", "test", (F.col("train") - F.col("test")).alias("gap"))
-
-
-@query
-def marginal_gain(spark, sf):
-    by = given(spark, sf).groupBy("lang", "kind").agg((F.sum(F.octet_length("text")) / F.sum(F.length("text"))).alias("fertility")).where("lang is not null and kind is not null")
-    before = F.lag("fertility").over(Window.partitionBy("lang").orderBy("kind"))
-    return by.select("lang", "kind", "fertility", ((before - F.col("fertility")) / before * 100).alias("gain_pct"))
-
-
-@query
-def algo_pivot(spark, sf):
-    v = table(spark, sf, "slot_vocab").where("slot is not null").join(table(spark, sf, "slot_specs").select(F.col("name").alias("slot"), "algorithm"), "slot")
-    return v.groupBy("slot").pivot("algorithm", ["bpe", "unigram", "bytes"]).agg(F.count("id")).na.fill(0)
-
-
-@query
-def seed_stats(spark, sf):
-    n = F.length("text").cast("double")
-    return given(spark, sf).groupBy("kind").agg(F.round(F.avg(n), 6).alias("mean"), F.round(F.stddev_samp(n), 6).alias("std"), (F.abs(F.avg(n)) > F.stddev_samp(n)).alias("decisive"))
-
-
 @query
 def bpe_train_pairs(spark, sf):
     return training.first_pairs(training.run_counts(segment.runs(docs(spark, sf))))
@@ -516,9 +429,9 @@ def fallback_chars(spark, sf):
 
 @query
 def sentence_space(spark, sf):
-    """Distinct combinations a grammar of word banks can make, with the registry's columns as banks."""
-    e = table(spark, sf, "corpus_entries")
-    return e.agg(F.countDistinct("slot").alias("slots"), F.countDistinct("encoding").alias("encodings"), F.countDistinct("glob_pattern").alias("patterns")).withColumn("space", F.col("slots") * F.col("encodings") * F.col("patterns"))
+    """Distinct sentences the grammar of each kind can make: the product of its banks."""
+    banks = spark.createDataFrame([(k, n) for k, *sizes in generator.bank_sizes() for n in sizes], "kind string, n long")
+    return banks.groupBy("kind").agg(F.round(F.product("n")).cast("long").alias("space"))
 
 
 @query
@@ -527,26 +440,14 @@ def budget_allocation(spark, sf):
     return slots.budget_rows(spark, sizes, 8000, least=1, most=64_000)
 
 
-SUBJECTS = ("the clerk", "a farmer", "our teacher", "the pilot", "a singer", "the judge", "my neighbour")
-VERBS = ("kept", "found", "lost", "mended", "sold", "drew", "counted")
-OBJECTS = ("a lantern", "the map", "seven letters", "an old drum", "the ledger", "two baskets", "a blue door")
-
-
-def _synthetic(spark, n: int, seed: int) -> DataFrame:
-    """Sentences from word banks by hashes of the row number: the same in any partitioning."""
-    digit = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")))
-    pick = [F.get(F.array(*map(F.lit, bank)), (F.conv(F.substring(digit, 1 + 4 * k, 4), 16, 10).cast("long") % len(bank)).cast("int")) for k, bank in enumerate((SUBJECTS, VERBS, OBJECTS))]
-    return spark.range(n).select(F.concat(F.lit("syn-"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("doc_id"), F.concat_ws(" ", *pick).alias("text"))
-
-
 @query
 def synthetic_corpus(spark, sf):
-    return _synthetic(spark, 2000, 1337)
+    return generator.documents(spark, 10_000, 1337)
 
 
 @query
 def synthetic_heldout(spark, sf):
-    return _synthetic(spark, 500, 4242)
+    return generator.documents(spark, 2_500, 4242, "held")
 
 
 # --- trained models and iterative work: rows only --------------------------------------------------------------
@@ -559,7 +460,7 @@ def encode_documents(spark, sf):
 @query
 def encode_stats(spark, sf):
     found = codec.encoded_runs(docs(spark, sf), table(spark, sf, "slot_vocab"))
-    stats = found.select(F.inline("run_stats")).groupBy("slot").agg(F.count("*").alias("runs"), *(F.sum(c).alias(c) for c in ("chars", "bytes", "tokens")))
+    stats = found.select(F.inline("run_stats")).groupBy("slot").agg(F.count("*").alias("runs"), *(F.sum(c).alias(c) for c in ("chars", "bytes", "tokens", "as_bytes")))
     return stats.withColumn("tokens_per_char", text.ratio(F.col("tokens"), F.col("chars"))).withColumn("bytes_per_token", text.ratio(F.col("bytes"), F.col("tokens")))
 
 
@@ -580,16 +481,29 @@ def fired_pieces(spark, sf):
 
 @query
 def bpe_train(spark, sf):
-    return training.train_bpe(training.run_counts(segment.runs(docs(spark, sf)).where("slot in ('NEUTRAL', 'CODE_MATH')")), 200)
+    """Every slot whose specification says bpe, as many merges of bytes as its budget has rows."""
+    specs, budget, runs = _plan(spark, sf)
+    own = [s for s in specs if s.algorithm == "bpe"]
+    plans = {s.name: training.Merges(256 + budget[s.name], 1 << 20) for s in own}
+    counts = training.run_counts(runs)
+    here = {r["slot"] for r in runs.select("slot").distinct().collect()}
+    found = training.bpe(counts, {s: p for s, p in plans.items() if s in here}, as_bytes=True)
+    rows = [(s, k, x.hex(), y.hex(), n) for s, p in found.items() for k, (x, y, n) in enumerate(p.found)]
+    return spark.createDataFrame(rows, "slot string, rank int, left string, right string, n long")
+
+
+def _plan(spark, sf, total: int = 8000) -> tuple:
+    """Specifications, budgets and the runs of the documents, written out."""
+    specs = slots.specs_from_rows(r.asDict() for r in few(table(spark, sf, "slot_specs"), slots.LIMIT, "slots"))
+    runs = materialize(segment.runs(docs(spark, sf)).select("slot", "text"), "runs")
+    sizes = few(runs.groupBy("slot").agg(F.sum(F.octet_length("text")).alias("bytes")), slots.LIMIT, "slots")
+    return specs, slots.allocate({r["slot"]: r["bytes"] for r in sizes}, total, specs), runs
 
 
 @query
 def unigram_train(spark, sf):
     """Every slot whose specification says unigram, up to its budget and piece length."""
-    specs = slots.specs_from_rows(r.asDict() for r in table(spark, sf, "slot_specs").collect())  # a few rows
-    runs = segment.runs(docs(spark, sf))
-    sizes = runs.groupBy("slot").agg(F.sum(F.octet_length("text")).alias("bytes")).limit(slots.LIMIT).collect()
-    budget = slots.allocate({r["slot"]: r["bytes"] for r in sizes}, 8000, specs)
+    specs, budget, runs = _plan(spark, sf)
     return build.slot_pieces(runs, budget, [s for s in specs if s.algorithm == "unigram"]).select("slot", F.col("token").alias("piece"), "score")
 
 
@@ -608,25 +522,33 @@ def unigram_seed_pieces_all(spark, sf):
 
 @query
 def baseline_train(spark, sf):
-    """One vocabulary for all scripts: the same trainer over a single pseudo-slot."""
+    """One vocabulary for all scripts: byte merges over a single pseudo-slot, as many as the whole budget has rows."""
     words = given(spark, sf).select(F.lit("ALL").alias("slot"), F.explode(F.regexp_extract_all("text", F.lit("\\s*\\S+"), F.lit(0))).alias("text"))
-    return training.train_bpe(training.run_counts(words), 200)
+    return training.train_bpe(training.run_counts(words), 8000 - 256)
 
 
 @query
 def sweep_report(spark, sf):
-    """Merges and what the last one still gains, for several vocabulary sizes of each slot."""
-    merges = materialize(training.train_bpe(training.run_counts(segment.runs(docs(spark, sf)).where("slot in ('NEUTRAL', 'CODE_MATH')")), 160), "sweep")
-    sizes = spark.createDataFrame([(n,) for n in (20, 40, 80, 160)], "size int")
-    return merges.join(F.broadcast(sizes), F.col("rank") < F.col("size")).groupBy("slot", "size").agg(F.count("*").alias("merges"), F.sum("n").alias("saved"), F.min("n").alias("last_gain"))
+    """Held-out tokens per character of each slot at several vocabulary sizes, and what each size saves over the one before."""
+    d = given(spark, sf).select("doc_id", "text").withColumn("held", F.md5(F.col("doc_id").cast("string")) < "26")
+    return compare.gain_by_size(d.where("not held"), (1000, 2000, 4000), d.where("held"))
+
+
+@query
+def algo_winner(spark, sf):
+    """BPE against unigram of the same size on held-out runs, by slot and white space mode."""
+    return compare.by_algorithm(given(spark, sf).select("doc_id", "text"), 1000)
 
 
 @query
 def compare_with_baseline(spark, sf):
-    """The slot vocabulary against a shared one of the same size, trained on balanced pure documents, on the pure documents of each slot."""
+    """The slot vocabulary against a shared one of the same size, trained on balanced pure documents, on the pure documents of each
+    slot and of all, with costs and gates."""
     vocab = table(spark, sf, "slot_vocab")
+    size = vocab.count()
     pure = materialize(compare.pure_documents(given(spark, sf).select("doc_id", "text")), "pure")
-    return compare.compared(pure, vocab, compare.train_shared(compare.balanced(pure), vocab.count()))
+    shared = compare.train_shared(compare.balanced(pure), size)
+    return compare.costs(materialize(compare.compared(pure, vocab, shared), "compared"), size, shared.count())
 
 
 @query
@@ -652,13 +574,9 @@ def vocab_utilization_encoded(spark, sf):
 
 @query
 def shard_write(spark, sf):
-    import uuid
-
-    from ..session import shared_dir
-
-    folder = f"{shared_dir(spark)}/lipika/shards-{uuid.uuid4().hex}"
-    found = codec.encoded_runs(docs(spark, sf), table(spark, sf, "slot_vocab"))
-    return sinks.write_shards(found, folder.removeprefix("file://"), 100_000, 4961)
+    found = codec.encoded_runs(sinks.without_blank(docs(spark, sf)), table(spark, sf, "slot_vocab"))
+    size = table(spark, sf, "slot_vocab").count()
+    return sinks.write_shards(found, fresh_path(spark, "shards"), 100_000, size)
 
 
 @query
@@ -671,12 +589,7 @@ def corpus_registry(spark, sf):
 
 @query
 def documents_json_roundtrip(spark, sf):
-    import uuid
-
-    from ..session import shared_dir
-    from ..sources.files import read_documents
-
-    path = f"{shared_dir(spark)}/lipika/docs-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "docs")
     d = given(spark, sf).select(F.col("doc_id").cast("string").alias("doc_id"), "kind", "text")
     sinks.write_documents(d, path)
     return read_documents(spark, path).select("doc_id", "kind", F.md5("text").alias("digest"))
@@ -685,11 +598,6 @@ def documents_json_roundtrip(spark, sf):
 @query
 def artifact_verify(spark, sf):
     """Freeze the vocabulary, read it again, compare the files with the manifest: one row per file and its problem, if any."""
-    import uuid
-
-    from ..model import TokenizerModel
-    from ..session import shared_dir
-
-    path = f"{shared_dir(spark)}/lipika/frozen-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "frozen")
     manifest = TokenizerModel(table(spark, sf, "slot_vocab"), table(spark, sf, "slot_ranges")).save(path)
     return manifest.join(sinks.verify(spark, path), "file", "left").select(F.element_at(F.split("file", "/"), 1).alias("part"), F.col("problem"))
