@@ -5,7 +5,7 @@ import pytest
 
 from lipika import cli
 from lipika.model import TokenizerModel
-from lipika.operators import build, slots, training
+from lipika.operators import build, codec, slots
 
 BANKS = {"LATIN": "the lantern river stone keeps moving under seven bridges".split(), "DEVANAGARI": "नमस्ते दुनिया पानी किताब लड़का घर".split(), "KANNADA": "ನಮಸ್ಕಾರ ಕನ್ನಡ ಮನೆ ನೀರು ಪುಸ್ತಕ".split()}
 
@@ -20,7 +20,7 @@ def test_build_encode_decode(spark, tmp_path, monkeypatch, capsys):
     monkeypatch.setattr(cli, "build_session", lambda: spark)
     out = f"file://{tmp_path}/model"
     assert cli.main(["build", str(tmp_path / "docs.jsonl"), out, "--total", "1800"]) == 0
-    assert capsys.readouterr().out.count("passed") == 3
+    assert capsys.readouterr().out.count("passed") == 4
     model = TokenizerModel.load(spark, out)
     sizes = {r["name"]: (r["algorithm"], r["size"]) for r in model.ranges.collect()}
     assert list(sizes) == [s.name for s in slots.DEFAULT_SPECS] and all(sizes[s.name][0] == s.algorithm for s in slots.DEFAULT_SPECS)
@@ -40,6 +40,22 @@ def test_budgets_hold(spark):
         build.assemble(build.slot_pieces(runs.where("slot <> 'KANNADA'"), budget))
 
 
-def test_bpe_pieces_are_texts_of_bounded_length():
-    pieces = [p for p, _ in training.bpe_pieces({"abcabcabc": 5, "é": 1}, 8, 3)]
-    assert set("abcé") <= set(pieces) and "abc" in pieces and max(map(len, pieces)) <= 3
+def test_bpe_pieces_are_texts_of_bounded_length(spark):
+    runs = spark.createDataFrame([("S", "abcabcabc")] * 5 + [("S", "é")], "slot string, text string")
+    pieces, merges = build.train_slots(runs, {"S": 8}, [slots.SlotSpec("S", "bpe", max_piece_length=3)])
+    found = [r["token"] for r in pieces.collect()]
+    assert set("abcé") <= set(found) and "abc" in found and max(map(len, found)) <= 3 and len(found) <= 8
+    assert {r["left"] + r["right"] for r in merges.collect()} <= set(found)
+
+
+def test_bpe_slots_are_encoded_by_their_merges(spark):
+    """A closed loop: what was trained encodes, and as training split its runs."""
+    runs = spark.createDataFrame([("NEUTRAL", t) for t in ["--__--", "--__", "__--__", "!?"] * 6], "slot string, text string")
+    specs = [slots.SlotSpec("NEUTRAL", "bpe"), slots.DEFAULT_SPECS[-1]]
+    pieces, merges = build.train_slots(runs, {"NEUTRAL": 12}, specs)
+    vocab, _ = build.assemble(pieces, specs)
+    own = codec.Vocabulary.load(vocab, merges)
+    assert own.merges["NEUTRAL"]
+    for text in ("--__--", "!?", "-_x!"):
+        assert own.decode(own.encode("NEUTRAL", text)) == text
+    assert len(own.encode("NEUTRAL", "--__--")) < 4

@@ -23,4 +23,6 @@ def test_save_load_encode_decode(spark, tmp_path):
     rows = {r["doc_id"]: r for r in padded_batches(marked.selectExpr("*", "0 as batch"), ["batch"]).collect()}
     assert len({len(r["ids"]) for r in rows.values()}) == 1 and sum(rows[2]["attention_mask"]) == 2
     assert [r[0] for r in marked.where("doc_id = 2").select(without_specials(marked["ids"])).collect()] == [[]]
-    assert model.runs(docs).count() > 3 and model.describe(spark.read.parquet(f"{DATA}/slot_specs.parquet")).count() == 6
+    assert model.runs(docs).count() > 3 and model.describe().count() == 6
+    assert {r["id"]: r["token"] for r in model.tokens_of_ids(spark.createDataFrame([(0,), (99999,)], "id int")).collect()} == {0: "<pad>", 99999: "<unk>"}
+    assert model.ids_of_tokens().where("token = '<bos>'").first()["id"] == 1
