@@ -13,7 +13,8 @@ of the wrong page. Which two pages were swapped is unknown and differs between s
 4. a run is garbled where the posterior of "as it stands" is below a half (below 0.05 for the only one of a record). The learned byte-to-letter tables
    are applied with translate(); the original's UTF-8 bytes, where there are any, are then read as such.
 
-U+FFFD stands for a byte that is lost; a record with it is garbled and restored only in part.
+U+FFFD stands for a byte that is lost. It is a swap like the others: what it may have been is read from the letters around
+it, the posterior decides, and the sign itself stays in the restored text.
 """
 
 from __future__ import annotations
@@ -88,6 +89,7 @@ def letter_table(shown: str, written: str) -> dict[int, int]:
 
 
 SWAPS = [f"utf-8 shown as {w}" for w in (*SHOWN, *SHOWN_WIDE)] + [f"{r} shown as {w}" for w in SHOWN for r in WRITTEN if r != w and not (r == "cp1252" and w == "iso8859_15")]
+SWAPS.append("bytes lost")
 NUMBER = {s: i + 1 for i, s in enumerate(SWAPS)}  # 0: as it stands
 
 
@@ -142,6 +144,8 @@ class Bigrams:
             members[kind(c)] += n
         self.single, self.between, self.classes, self.members = single, between, classes, members
         self.cache: dict[tuple[str, str], float] = {}
+        self.between_two: dict[tuple[str, str], str] = {}
+        self.beyond = sorted(c for c in single if c >= "\x80")
         self.seen = set(single) | {c for a in ALPHABET[:1] for c in map(chr, range(*a))}
 
     def log(self, a: str, b: str) -> float:
@@ -163,6 +167,13 @@ class Bigrams:
             a = b
         return True
 
+    def letter(self, left: str, right: str) -> str:
+        """The likeliest character outside ASCII between two others."""
+        hit = self.between_two.get((left, right))
+        if hit is None:
+            hit = self.between_two[left, right] = max(self.beyond, key=lambda c: self.log(left, c) + self.log(c, right), default=LOST)
+        return hit
+
     def score(self, left: str, run: str, right: str) -> float:
         total, a = 0.0, left
         for b in run + right:
@@ -307,6 +318,9 @@ def readings(left: str, run: str, right: str, model: Bigrams) -> list[tuple[int,
                 if swap in NUMBER and (got := run.translate(letter_table(w, r))) not in seen:
                     seen.add(got)
                     out.append((model.score(left, got, right) - base, NUMBER[swap], got))
+    if LOST in run:
+        guess = "".join(c if c != LOST else model.letter(run[k - 1] if k else left, run[k + 1] if k + 1 < len(run) else right) for k, c in enumerate(run))
+        out.append((model.score(left, guess, right) - base, NUMBER["bytes lost"], run))
     out.sort(key=lambda x: (-x[0], x[1]))
     shift = max(0.0, out[0][0] - CLIP) if out else 0.0  # the best counts CLIP at most, the others keep their distance
     least = max(FAINT, out[0][0] - shift - 12) if out else 0.0  # what is fainter has no part in any posterior
@@ -442,17 +456,16 @@ def _restore(batches: Iterator[pa.RecordBatch], model, priors) -> Iterator[pa.Re
                     swaps[SWAPS[swap - 1]] += 1
                     pieces += [text[at:start], got]
                     at = end
-            lost = text.count(LOST)
-            if worst < LONE and not lost and sum(swaps.values()) == 1:
+            if worst < LONE and sum(swaps.values()) == 1:
                 swaps.clear()
-            if swaps or lost:
+            if swaps:
                 restored = "".join([*pieces, text[at:]])
                 out["row"].append(k)
                 out["restored"].append(restored)
                 out["swap"].append(min(swaps, key=lambda s: (-swaps[s], s)) if swaps else None)
                 out["runs"].append(sum(swaps.values()))
                 out["lost"].append(restored.count(LOST))
-                out["sure"].append(1.0 if lost else worst)
+                out["sure"].append(worst)
         found = part.take(pa.array(out["row"], pa.int64()))
         yield pa.RecordBatch.from_arrays(
             [found.column(names.index("doc_id")), found.column(names.index("source")), pa.array(out["restored"], pa.string()), pa.array(out["swap"], pa.string()), pa.array(out["runs"], pa.int32()), pa.array(out["lost"], pa.int32()), pa.array(out["sure"], pa.float64())],
