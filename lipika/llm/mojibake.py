@@ -13,6 +13,10 @@ of the wrong page. Which two pages were swapped is unknown and differs between s
 4. a run is garbled where the posterior of "as it stands" is below a half (below 0.05 for the only one of a record). The learned byte-to-letter tables
    are applied with translate(); the original's UTF-8 bytes, where there are any, are then read as such.
 
+5. runs that no page explains are a substitution cipher with unknown letters: expectation-maximization against the
+   bigrams learns for each source which run stands for which letter, from no other knowledge than the letters around
+   it, and the posterior decides as in 4.
+
 U+FFFD stands for a byte that is lost. It is a swap like the others: what it may have been is read from the letters around
 it, the posterior decides, and the sign itself stays in the restored text.
 """
@@ -51,6 +55,9 @@ SURE = 20.0  # nats by which UTF-8 bytes read as such must be likelier for other
 FAINT = -8.0  # nats below the run as it stands from which a reading is not counted
 LONE = 0.95  # the posterior that the only garbled run of a record needs
 USUAL = 3  # a run all of whose bigrams are that frequent in sound records stands as it is
+UNIT, WEIGHED = 3, 3.0  # characters of a run that may stand for one letter; nats from which a page explains a run
+LETTER_ROUNDS, LETTER_STRENGTH = 25, 20.0
+UNKNOWN = "letters of no known page"
 UNSEEN = 8.0  # nats a reading loses for each character that no record has shown
 RUN = re.compile("[^\x00-\x7f]+")
 UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})+")
@@ -440,8 +447,84 @@ def decide(found: list[tuple[int, int, str]], prior: np.ndarray) -> tuple[float,
     return 1 - weights[0] / sum(weights), found[best][0], found[best][2]
 
 
-def _restore(batches: Iterator[pa.RecordBatch], model, priors) -> Iterator[pa.RecordBatch]:
-    read, known = Reader(model.value), priors.value
+def unexplained(read: Reader, left: str, run: str, right: str) -> bool:
+    """Whether a run may stand for a letter of an unknown page: behind a letter, short, unusual, explained by no page, and
+    with a sign in it that is no letter or space (lone ones and general punctuation only count in front of a letter)."""
+    if len(run) > UNIT or LOST in run or not left.isalpha():
+        return False
+    signs = [c for c in run if unicodedata.category(c)[0] not in "LMZ" and (right.isalpha() or len(run) > 1 and not 0x2010 <= ord(c) < 0x2028)]
+    return bool(signs) and not read.model.usual(left, run, right) and all(gain < WEIGHED for _, gain, _ in read(left, run, right))
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    read, counts = Reader(model.value), Counter()
+    for batch in batches:
+        rows = suspicious_rows(batch.column(1))
+        sources, texts = batch.column(0).take(pa.array(rows)).to_pylist(), batch.column(1).take(pa.array(rows)).to_pylist()
+        for source, text in zip(sources, texts):
+            for *_, left, run, right in runs(text):
+                if unexplained(read, left, run, right):
+                    counts[source, left, run, right] += 1
+    columns = list(zip(*counts)) or [[]] * 4
+    yield pa.RecordBatch.from_arrays([*(pa.array(list(c), pa.string()) for c in columns), pa.array(list(counts.values()), pa.int64())], names=["source", "left", "run", "right", "n"])
+
+
+class Letters:
+    """What each source's unexplained runs stand for: the share of runs that are garbled, and P(run | letter)."""
+
+    def __init__(self, rows: list[dict], model: Bigrams) -> None:
+        """By expectation-maximization. A run is as it stands, or its source's cipher wrote it for a letter that the bigrams
+        make likely between its neighbours; sources lean on the mean of all."""
+        self.letters = [c for c in model.beyond if unicodedata.category(c)[0] == "L"]
+        units, sources = sorted({r["run"] for r in rows}), sorted({r["source"] for r in rows})
+        self.unit, self.source = {u: k for k, u in enumerate(units)}, {s: k for k, s in enumerate(sources)}
+        self.share, self.theta = np.zeros(len(sources)), np.zeros((len(sources), len(self.letters), len(units)))
+        if not rows or not self.letters:
+            return
+        n = np.array([r["n"] for r in rows], float)
+        who, which = np.array([self.source[r["source"]] for r in rows]), np.array([self.unit[r["run"]] for r in rows])
+        gain = np.array([self.gains(model, r["left"], r["run"], r["right"]) for r in rows])
+        common, share = np.full((len(self.letters), len(units)), 1 / len(units)), np.full(len(sources), 0.05)
+        theta = np.tile(common, (len(sources), 1, 1))
+        for _ in range(LETTER_ROUNDS):
+            joint = np.exp(gain) * theta[who, :, which]
+            total = joint.sum(1)
+            garbled = share[who] * total / (share[who] * total + 1 - share[who])
+            mass = np.zeros_like(theta)
+            np.add.at(mass, (who, slice(None), which), joint * (garbled * n / np.maximum(total, 1e-300))[:, None])
+            whole = mass.sum(0) + 0.5 / len(units)
+            common = whole / whole.sum(1, keepdims=True)
+            theta = mass + LETTER_STRENGTH * common
+            theta /= theta.sum(2, keepdims=True)
+            mean = (garbled * n).sum() / n.sum()
+            share = (np.bincount(who, garbled * n, len(sources)) + LETTER_STRENGTH * mean) / (np.bincount(who, n, len(sources)) + LETTER_STRENGTH)
+        self.share, self.theta = share, theta
+
+    def gains(self, model: Bigrams, left: str, run: str, right: str) -> np.ndarray:
+        """For each letter the nats by which it is likelier between its neighbours than the run as it stands."""
+        base = max(model.score(left, run, right), model.score(left, plain(run), right))
+        return np.minimum(np.array([model.log(left, c) + model.log(c, right) for c in self.letters]) - base, CLIP)
+
+    def read(self, model: Bigrams, source: str, left: str, run: str, right: str) -> tuple[float, str]:
+        """(posterior that the run is garbled, letter)."""
+        s, u = self.source.get(source), self.unit.get(run)
+        if s is None or u is None or not self.letters:
+            return 0.0, run
+        joint = np.exp(self.gains(model, left, run, right)) * self.theta[s, :, u]
+        weight = self.share[s] * joint.sum()
+        return weight / (weight + 1 - self.share[s]), self.letters[int(joint.argmax())]
+
+
+def learn_letters(docs: DataFrame, model, source: str = "source", text: str = "text") -> Letters:
+    """From the contexts of all unexplained runs (left, run, right): bounded by the registry and the signs in use."""
+    given = docs.select(F.col(source), F.col(text)).where(f"length({text}) > 0")
+    parts = given.mapInArrow(lambda it: _contexts(it, model), "source string, left string, run string, right string, n long")
+    rows = parts.groupBy("source", "left", "run", "right").agg(F.sum("n").alias("n")).orderBy("source", "left", "run", "right").toArrow().to_pylist()
+    return Letters(rows, model.value)
+
+
+def _restore(batches: Iterator[pa.RecordBatch], model, priors, letters) -> Iterator[pa.RecordBatch]:
+    read, known, ciphers = Reader(model.value), priors.value, letters.value
     for batch in batches:
         names = batch.schema.names
         rows = suspicious_rows(batch.column(names.index("text")))
@@ -451,9 +534,12 @@ def _restore(batches: Iterator[pa.RecordBatch], model, priors) -> Iterator[pa.Re
             prior, pieces, at, swaps, worst = known.get(source, known[""]), [], 0, Counter(), 0.0
             for start, end, left, run, right in runs(text):
                 sure, swap, got = decide(read(left, run, right), prior)
-                if sure >= 0.5:
+                name = SWAPS[swap - 1]
+                if sure < 0.5 and unexplained(read, left, run, right):
+                    name, (sure, got) = UNKNOWN, ciphers.read(model.value, source, left, run, right)
+                if sure >= (LONE if name == UNKNOWN else 0.5):
                     worst = max(worst, sure)
-                    swaps[SWAPS[swap - 1]] += 1
+                    swaps[name] += 1
                     pieces += [text[at:start], got]
                     at = end
             if worst < LONE and sum(swaps.values()) == 1:
@@ -493,4 +579,5 @@ def garbled_records(docs: DataFrame, entries: DataFrame | None = None) -> DataFr
     given = docs.select(F.col("doc_id").cast("string").alias("doc_id"), source_of(F.col("name"), entries).alias("source"), "text").where("doc_id is not null and length(text) > 0")
     model = spark.sparkContext.broadcast(learn_bigrams(given))
     priors = spark.sparkContext.broadcast(learn_swaps(given, model))
-    return given.mapInArrow(lambda it: _restore(it, model, priors), "doc_id string, source string, restored string, swap string, runs int, lost int, probability double")
+    letters = spark.sparkContext.broadcast(learn_letters(given, model))
+    return given.mapInArrow(lambda it: _restore(it, model, priors, letters), "doc_id string, source string, restored string, swap string, runs int, lost int, probability double")
