@@ -503,7 +503,8 @@ class Letters:
     def gains(self, model: Bigrams, left: str, run: str, right: str) -> np.ndarray:
         """For each letter the nats by which it is likelier between its neighbours than the run as it stands."""
         base = max(model.score(left, run, right), model.score(left, plain(run), right))
-        return np.minimum(np.array([model.log(left, c) + model.log(c, right) for c in self.letters]) - base, CLIP)
+        gain = np.array([model.log(left, c) + model.log(c, right) for c in self.letters]) - base
+        return gain - max(0.0, gain.max() - CLIP)  # the best counts CLIP at most, the others keep their distance
 
     def read(self, model: Bigrams, source: str, left: str, run: str, right: str) -> tuple[float, str]:
         """(posterior that the run is garbled, letter)."""

@@ -84,11 +84,24 @@ def document_tokens(docs: DataFrame, entries: DataFrame, name: str = "name", pat
     Repeated deliveries of a doc_id count once (the first loaded is kept; rows without doc_id are left out). Null
     attributes stay null. Entries outside the registry keep their name and have no slot.
     """
-    given = docs.where("doc_id is not null").select("doc_id", "loaded_at", entry_form(F.col(name)).alias("entry"), language_form(F.col("lang")).alias("lang"), F.regexp_replace("kind", "_held$", "").alias("kind"), "text")
+    given = _attributes(docs, name, "text")
     counted = with_tokens(given, path)
     once = counted.groupBy("doc_id").agg(F.min(F.struct("loaded_at", "entry", "lang", "kind", "tokens")).alias("d")).select("doc_id", "d.entry", "d.lang", "d.kind", "d.tokens")
-    registry = entries.where("name is not null").groupBy(entry_form(F.col("name")).alias("entry")).agg(F.min("slot").alias("slot"))
-    return once.join(registry, "entry", "left").select("doc_id", "entry", "lang", "kind", "slot", "tokens")
+    return once.join(_registry(entries), "entry", "left").select("doc_id", "entry", "lang", "kind", "slot", "tokens")
+
+
+def described(docs: DataFrame, entries: DataFrame, name: str = "name") -> DataFrame:
+    """(doc_id, entry, lang, kind, slot): document_tokens without the tokens."""
+    once = _attributes(docs, name).groupBy("doc_id").agg(F.min(F.struct("loaded_at", "entry", "lang", "kind")).alias("d")).select("doc_id", "d.entry", "d.lang", "d.kind")
+    return once.join(_registry(entries), "entry", "left").select("doc_id", "entry", "lang", "kind", "slot")
+
+
+def _attributes(docs: DataFrame, name: str, *more: str) -> DataFrame:
+    return docs.where("doc_id is not null").select("doc_id", "loaded_at", entry_form(F.col(name)).alias("entry"), language_form(F.col("lang")).alias("lang"), F.regexp_replace("kind", "_held$", "").alias("kind"), *more)
+
+
+def _registry(entries: DataFrame) -> DataFrame:
+    return entries.where("name is not null").groupBy(entry_form(F.col("name")).alias("entry")).agg(F.min("slot").alias("slot"))
 
 
 def token_budget(counted: DataFrame) -> DataFrame:
