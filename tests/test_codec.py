@@ -59,9 +59,9 @@ def test_unigram_keeps_characters(spark):
 
 
 def test_freeze_and_verify(spark, vocab, tmp_path):
-    ranges = spark.createDataFrame([("LATIN", 5, 12), ("DEVANAGARI", 12, 15), ("CATCHALL", 15, 271)], "name string, start_id int, end_id int")
+    ranges = spark.createDataFrame([("LATIN", 5, 12, "unigram", 7), ("DEVANAGARI", 12, 15, "unigram", 3), ("CATCHALL", 15, 271, "bytes", 256)], "name string, start_id int, end_id int, algorithm string, size int")
     path = f"file://{tmp_path}/art"
-    assert sinks.freeze(vocab, ranges, path).count() == 2
+    assert sinks.freeze(vocab, ranges, path).count() == len(sinks.PARTS)
     assert sinks.verify(spark, path).count() == 0
     vocab.limit(3).coalesce(1).write.mode("overwrite").parquet(f"{path}/vocab")
     assert {r["problem"] for r in sinks.verify(spark, path).collect()} == {"missing", "unknown"}
