@@ -1,6 +1,8 @@
 """Near duplicates and cross-split overlaps against brute force over word multisets."""
 
+import gc
 import random
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -185,3 +187,53 @@ def test_copies_are_thinned_without_loss(spark, monkeypatch):
     assert similarity.thinned(made, similarity.heavy_classes(made)).count() == 2
     assert {tuple(r) for r in neardup.near_duplicate_pairs(frame).collect()} == whole and len(whole) == 51 * 50 // 2
     assert crosssplit.cross_split_pairs(frame).count() == 50
+
+
+def chance(records, words=200, size=60, seed=3):
+    """Records of words drawn at random from few: most pairs share some, hardly any pair shares 0.7."""
+    rng = random.Random(seed)
+    rows = [(f"r{k:04d}", " ".join(f"w{int(words * rng.random() ** 4)}" for _ in range(size))) for k in range(records)]
+    return rows + [(f"s{k:04d}", text.replace(" ", " x ", 1)) for k, (_, text) in enumerate(rows[:50])]
+
+
+def shuffled_records(spark):
+    """Of all stages so far."""
+    gateway, stages = spark.sparkContext._gateway, spark._jsc.sc().statusStore()
+    every = stages.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return {(every.apply(k).stageId(), every.apply(k).attemptId()): every.apply(k).shuffleWriteRecords() for k in range(every.size())}
+
+
+def shuffle_bytes(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(k).length() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_"))
+
+
+def test_pairs_that_meet_by_chance_are_not_shuffled(spark):
+    """They grow with the square of the collection; what is shuffled must not, and must not stay."""
+    rows = chance(3000)
+    made = features.word_features(spark.createDataFrame(rows, "doc_id string, text string"), 8, len(features.SKETCHES))
+    made = neardup.materialize(made, "test")
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(2)
+    before, held = shuffled_records(spark), shuffle_bytes(spark)
+    found = neardup.similar_classes(made).count()
+    assert found >= 49
+    now = sum(n for stage, n in shuffled_records(spark).items() if stage not in before)
+    bands = neardup.bands_for(neardup.SIMILARITY, neardup.RECALL, neardup.ROWS)
+    assert now <= len(rows) * (bands + 10)
+    for _ in range(50):
+        if shuffle_bytes(spark) <= held + 10_000:  # the count above leaves a few bytes
+            break
+        time.sleep(0.2)
+    assert shuffle_bytes(spark) <= held + 10_000
+
+
+def test_rounds_and_slices_change_nothing(docs, monkeypatch):
+    rows, frame = docs
+    whole = {tuple(r) for r in neardup.near_duplicate_pairs(frame).collect()}
+    monkeypatch.setattr(neardup, "ROUND", 23)
+    monkeypatch.setattr(neardup, "SLICE", 1)
+    few = frame.where("doc_id < 'd0040'")
+    want = {p for p in whole if max(p) < "d0040"}
+    assert len(want) > 50 and {tuple(r) for r in neardup.near_duplicate_pairs(few).collect()} == want
